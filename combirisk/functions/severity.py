@@ -105,32 +105,40 @@ def confidence_adjusted(label: Column, confidence: Column, top: float = 0.65, hi
 
 
 def hybrid_recalibration(
-    name1: Column,
-    name2: Column,
-    label: Column,
-    confidence: Column,
-    description: Column,
+    rows: DataFrame,
     weights: tuple[float, float, float] = (0.20, 0.50, 0.30),
     cuts: tuple[float, float, float] = (3.2, 2.5, 2.0),
-) -> Column:
-    """struct(severity, method, confidence, final_score) from four evidence sources."""
-    known = known_pair_label(name1, name2)
+) -> DataFrame:
+    """Add severity_recalibrated, recal_method, recal_confidence, final_score.
+
+    Each evidence source is its own column first, so that the long rule
+    expressions are evaluated once per row however often they are used.
+    """
+    name1, name2, confidence = F.col("drug_name_1"), F.col("drug_name_2"), F.col("severity_confidence")
     class_scores = F.create_map(*[F.lit(x) for kv in rules.RISK_CLASS_SCORES.items() for x in kv])
-    score = (
-        F.lit(weights[0]) * confidence_adjusted(label, confidence)
-        + F.lit(weights[1]) * text_marker_score(description)["score"]
-        + F.lit(weights[2]) * F.element_at(class_scores, pair_risk_class(name1, name2))
+    sourced = rows.select(
+        "*",
+        known_pair_label(name1, name2).alias("known_"),
+        confidence_adjusted(F.col("severity_label"), confidence).alias("label_"),
+        text_marker_score("interaction_description")["score"].alias("marker_"),
+        pair_risk_class(name1, name2).alias("class_"),
     )
     # Scores are sums of two-decimal terms; rounding keeps the cuts exact.
-    final = F.round(score, 6)
-    severity = (
-        F.when(final >= cuts[0], CONTRAINDICATED).when(final >= cuts[1], MAJOR).when(final >= cuts[2], MODERATE).otherwise(MINOR)
+    score = F.round(
+        F.lit(weights[0]) * F.col("label_")
+        + F.lit(weights[1]) * F.col("marker_")
+        + F.lit(weights[2]) * F.element_at(class_scores, F.col("class_")),
+        6,
     )
-    return F.struct(
-        F.coalesce(known, severity).alias("severity"),
-        F.when(known.isNotNull(), "known_pair").otherwise("hybrid").alias("method"),
-        F.when(known.isNotNull(), 0.95).otherwise(F.least(F.lit(0.95), confidence + 0.1)).alias("confidence"),
-        F.when(known.isNull(), final).alias("final_score"),
+    scored = sourced.select("*", score.alias("score_"))
+    s, known = F.col("score_"), F.col("known_")
+    severity = F.when(s >= cuts[0], CONTRAINDICATED).when(s >= cuts[1], MAJOR).when(s >= cuts[2], MODERATE).otherwise(MINOR)
+    return scored.select(
+        *rows.columns,
+        F.coalesce(known, severity).alias("severity_recalibrated"),
+        F.when(known.isNotNull(), "known_pair").otherwise("hybrid").alias("recal_method"),
+        F.when(known.isNotNull(), 0.95).otherwise(F.least(F.lit(0.95), confidence + 0.1)).alias("recal_confidence"),
+        F.when(known.isNull(), s).alias("final_score"),
     )
 
 

@@ -90,12 +90,13 @@ def learned_score(description: str | Column, weights: dict[str, float]) -> Colum
     return reduce(lambda x, y: x + y, parts, F.lit(0.0))
 
 
-def rule_severity(description: str | Column) -> Column:
+def rule_severity(description: str | Column, score: str | Column | None = None) -> Column:
     """struct(severity, confidence, method, score, keyword) by fixed score thresholds.
 
     Score bands come first, then the keyword lists in order, then the default.
+    Pass ``score`` as a column computed beforehand: it is used in every branch.
     """
-    text, score = _lowered(description), keyword_score(description)
+    text, score = _lowered(description), keyword_score(description) if score is None else _col(score)
     none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
 
     def row(severity, confidence, method, score_=none_d, keyword=none_s):

@@ -147,13 +147,15 @@ def all_regimen_pairs(regimens: DataFrame, limit: int = SELF_PAIR_LIMIT) -> Data
 def validation_pairs(interactions: DataFrame, reference: DataFrame) -> DataFrame:
     """Rows whose pair, in either orientation, has a known reference level.
 
-    ``reference`` has (drug_a, drug_b, level); repeated pairs keep the last by level.
+    ``reference`` has (drug_a, drug_b, level); a pair listed twice keeps its
+    most severe level.
     """
+    rank = F.when(F.col("level") == "Major", 3).when(F.col("level") == "Moderate", 2).otherwise(1)
     levels = (
         reference.filter(F.col("level") != "Unknown")
-        .select(*pair_key(F.lower(F.trim("drug_a")), F.lower(F.trim("drug_b"))), "level")
+        .select(*pair_key(F.lower(F.trim("drug_a")), F.lower(F.trim("drug_b"))), "level", rank.alias("rank"))
         .groupBy("a", "b")
-        .agg(F.max("level").alias("reference_level"))
+        .agg(F.max_by("level", "rank").alias("reference_level"))
     )
     rows = interactions.select(*pair_key(F.lower(F.trim("drug_name_1")), F.lower(F.trim("drug_name_2"))), "*")
     return rows.join(levels, ["a", "b"])

@@ -4,7 +4,7 @@ import importlib
 
 from combirisk.plans.registry import CHECKS, QUERIES
 
-for _module in ("scalar", ):
+for _module in ("scalar", "join", "table", "network"):
     importlib.import_module(f"combirisk.plans.{_module}_queries")
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -176,6 +176,7 @@ def with_views(sql: str) -> str:
     """Put the views in front of ``sql`` (which may go on with ``, name AS (...)``)."""
     body = sql.strip()
     head = "WITH RECURSIVE" if "/*recursive*/" in body else "WITH"
+    body = body.replace("/*recursive*/", "").strip()
     if body.startswith(","):
         return f"{head} {_VIEWS.strip()}{body}"
     return f"{head} {_VIEWS.strip()}\n{body}"

@@ -286,7 +286,8 @@ def rule_severity_sql(source="interactions"):
 @query("p19_rule_severity", f"SELECT drug_name_1, drug_name_2, severity, confidence, method, score, keyword, count(*) AS n FROM ({rule_severity_sql()}) GROUP BY ALL")
 def p19(spark, sf):
     return (
-        V.interactions(spark, sf).select("drug_name_1", "drug_name_2", text.rule_severity("interaction_description").alias("r"))
+        V.interactions(spark, sf).withColumn("score_", text.keyword_score("interaction_description"))
+        .select("drug_name_1", "drug_name_2", text.rule_severity("interaction_description", "score_").alias("r"))
         .select("drug_name_1", "drug_name_2", "r.*").groupBy("drug_name_1", "drug_name_2", "severity", "confidence", "method", "score", "keyword")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -383,14 +384,11 @@ HYBRID_SQL = f"""SELECT *,
     f"SELECT drug_name_1, drug_name_2, recal AS severity, method, round(recal_confidence, 6) AS confidence, CASE WHEN known IS NULL THEN fs END AS final_score, count(*) AS n FROM ({HYBRID_SQL}) GROUP BY ALL",
 )
 def p24(spark, sf):
-    rows = V.interactions(spark, sf)
-    recal = severity.hybrid_recalibration(
-        F.col("drug_name_1"), F.col("drug_name_2"), F.col("severity_label"), F.col("severity_confidence"), F.col("interaction_description")
-    )
-    return (
-        rows.select("drug_name_1", "drug_name_2", recal.alias("r")).select("drug_name_1", "drug_name_2", "r.severity", "r.method", F.round("r.confidence", 6).alias("confidence"), "r.final_score")
-        .groupBy("drug_name_1", "drug_name_2", "severity", "method", "confidence", "final_score").agg(F.count(F.lit(1)).alias("n"))
-    )
+    recal = severity.hybrid_recalibration(V.interactions(spark, sf))
+    return recal.groupBy(
+        "drug_name_1", "drug_name_2", F.col("severity_recalibrated").alias("severity"), F.col("recal_method").alias("method"),
+        F.round("recal_confidence", 6).alias("confidence"), "final_score",
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def evidence_sql(column=D, source="interactions", empty="coalesce(interaction_description, '') = ''"):
