@@ -9,6 +9,7 @@ from combirisk.functions.severity import label_rank, scale_by_substring
 from combirisk.operators.pairs import symmetric
 from combirisk.operators.profiles import count_if
 from combirisk.operators.statistics import global_rank, hash_number
+from combirisk.session import cut_lineage, scalar_row
 from combirisk.schemas import CONTRAINDICATED, MAJOR, MINOR, MODERATE, SEVERE_LABELS, SHARE_SCALE
 
 # Index weights.
@@ -62,8 +63,8 @@ def node_metrics(edges: DataFrame, betweenness: DataFrame | None = None) -> Data
     it degree over the largest degree stands in, as in the light variant.
     """
     degrees = degree_table(edges)
-    bounds = degrees.agg(F.count(F.lit(1)).alias("n"), F.max("weight_sum").alias("w"), F.max("degree").alias("d"))
-    n, top_weight, top_degree = (bounds.select(c).scalar() for c in ("n", "w", "d"))
+    bounds = scalar_row(degrees, n=F.count(F.lit(1)), w=F.max("weight_sum"), d=F.max("degree"))
+    n, top_weight, top_degree = bounds["n"], bounds["w"], bounds["d"]
     metrics = degrees.select(
         "*",
         (F.col("degree") / F.greatest(n - 1, F.lit(1))).alias("degree_centrality"),
@@ -93,8 +94,8 @@ def share_metrics(edges: DataFrame) -> DataFrame:
     degrees = rows.groupBy("item").agg(
         F.count(F.lit(1)).alias("degree"), F.sum("h").alias("h"), count_if(F.col("h") >= 70).alias("severe")
     )
-    bounds = degrees.agg(F.max("degree").alias("d"), F.max("h").alias("h"))
-    d, h = bounds.select("d").scalar(), bounds.select("h").scalar()
+    bounds = scalar_row(degrees, d=F.max("degree"), h=F.max("h"))
+    d, h = bounds["d"], bounds["h"]
     pri = F.round(
         0.25 * F.col("degree") / d + 0.30 * F.col("h") / h + 0.20 * F.col("degree") / d + 0.25 * F.col("severe") / F.col("degree"), 3
     )
@@ -105,8 +106,8 @@ def share_metrics(edges: DataFrame) -> DataFrame:
 
 def composite_risk(metrics: DataFrame) -> DataFrame:
     """.4 weighted / max + .3 degree / max + .3 betweenness / max."""
-    bounds = metrics.agg(F.max("weight_sum").alias("w"), F.max("degree_centrality").alias("d"), F.max("betweenness").alias("b"))
-    w, d, b = (bounds.select(c).scalar() for c in ("w", "d", "b"))
+    bounds = scalar_row(metrics, w=F.max("weight_sum"), d=F.max("degree_centrality"), b=F.max("betweenness"))
+    w, d, b = bounds["w"], bounds["d"], bounds["b"]
     score = 0.4 * F.col("weight_sum") / w + 0.3 * F.col("degree_centrality") / d + 0.3 * F.col("betweenness") / F.nullif(b, F.lit(0.0))
     return metrics.withColumn("risk_score", score)
 
@@ -181,6 +182,7 @@ def removal_ranks(metrics: DataFrame, seed: int = 42) -> DataFrame:
     """(item, strategy, rank) by index, by degree and by seeded hash."""
     by = lambda df, col, name: global_rank(df, col, "item").select("item", F.lit(name).alias("strategy"), "rank")
     rounded = metrics.select("item", F.round("pri", 9).alias("pri"), "degree", hash_number(F.lit(seed), F.col("item")).alias("draw"))
+    rounded = cut_lineage(rounded)
     return (
         by(rounded.select("item", "pri"), "pri", "pri")
         .unionByName(by(rounded.select("item", "degree"), "degree", "degree"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from combirisk.session import scalar_row
 from combirisk.schemas import CONTRAINDICATED, LABELS, MAJOR, MINOR, MODERATE, SEVERE_LABELS
 
 
@@ -312,8 +313,8 @@ def modal_label(rows: DataFrame, label: str = "severity_label") -> DataFrame:
 
 def histogram(df: DataFrame, value: str, buckets: int = 50) -> DataFrame:
     """Equal-width histogram over [min, max], the top edge closed."""
-    bounds = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    bounds = scalar_row(df, lo=F.min(value), hi=F.max(value))
+    lo, hi = bounds["lo"], bounds["hi"]
     width = F.coalesce(F.try_divide(F.col(value) - lo, hi - lo), F.lit(0.0))
     bucket = F.least(F.floor(F.round(width * buckets, 9)), F.lit(buckets - 1)).cast("int")
     return df.filter(F.col(value).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

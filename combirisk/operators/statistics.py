@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from combirisk.operators.profiles import count_if
+from combirisk.session import cut_lineage, scalar_row
 
 # Number of value ranges a global running total is cut into.
 RANGES = 64
@@ -21,7 +22,8 @@ def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool
     totals run inside each range in parallel and are shifted by the totals of
     the ranges before it (a table of at most ``RANGES`` rows).  Adds ``cum_*``.
     """
-    grouped = df.filter(F.col(order).isNotNull()).groupBy(order).agg(*[F.sum(c).alias(c) for c in sums])
+    # Read three times below, so the distinct values are computed once and kept.
+    grouped = cut_lineage(df.filter(F.col(order).isNotNull()).groupBy(order).agg(*[F.sum(c).alias(c) for c in sums]))
     cuts = [i / RANGES for i in range(1, RANGES)]
     edges = grouped.agg(F.percentile_approx(order, cuts, 1000)).scalar()
     ranged = grouped.withColumn("edges_", edges).withColumn("range_", F.size(F.filter("edges_", lambda e: e < F.col(order)))).drop("edges_")
@@ -74,6 +76,7 @@ def correlation_matrix(df: DataFrame, metrics: list[str], method: str = "pearson
     """(x, y, r) of every metric pair; ``spearman`` correlates average ranks."""
     table, names = df, {m: m for m in metrics}
     if method == "spearman":
+        table = cut_lineage(df.select(*metrics))
         for m in metrics:
             table = average_ranks(table, m, f"rank_{m}")
         names = {m: f"rank_{m}" for m in metrics}
@@ -88,8 +91,8 @@ def cumulative_share(df: DataFrame, value: str) -> DataFrame:
     """Lorenz / Pareto points per distinct value, largest first: share of rows and of the total."""
     rows = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.lit(1).alias("k"), F.col(value).alias("amount"))
     run = running_totals(rows, "v", ["k", "amount"], descending=True)
-    totals = rows.agg(F.sum("k").alias("k"), F.sum("amount").alias("amount"))
-    n, total = totals.select("k").scalar(), totals.select("amount").scalar()
+    totals = scalar_row(run, k=F.sum("k"), amount=F.sum("amount"))
+    n, total = totals["k"], totals["amount"]
     return run.select(F.col("v").alias("value"), (F.col("cum_k") / n).alias("row_share"), (F.col("cum_amount") / total).alias("value_share"))
 
 
@@ -168,8 +171,9 @@ def roc_curve(df: DataFrame, score: str, outcome: str) -> DataFrame:
 
 def _roc_run(df: DataFrame, score: str, outcome: str):
     rows = df.select(score, F.col(outcome).cast("long").alias("pos"), (1 - F.col(outcome)).cast("long").alias("neg"))
-    totals = rows.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return running_totals(rows, score, ["pos", "neg"], descending=True), totals.select("pos").scalar(), totals.select("neg").scalar()
+    run = running_totals(rows, score, ["pos", "neg"], descending=True)
+    totals = scalar_row(run, pos=F.sum("pos"), neg=F.sum("neg"))
+    return run, totals["pos"], totals["neg"]
 
 
 def hash_number(*parts: Column) -> Column:
@@ -184,7 +188,7 @@ def bootstrap_correlation(df: DataFrame, id_col: str, x: str, y: str, replicates
     place in id order is hash(seed, r, j) mod n.  Draws are generated and
     correlated per replicate in parallel; no resample is ever collected.
     """
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(id_col, F.col(x).alias("x"), F.col(y).alias("y"))
+    rows = cut_lineage(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(id_col, F.col(x).alias("x"), F.col(y).alias("y")))
     placed = running_totals(rows.withColumn("one_", F.lit(1)), id_col, ["one_"]).select(id_col, (F.col("cum_one_") - 1).alias("place"))
     indexed = rows.join(placed, id_col)
     n = rows.agg(F.count(F.lit(1))).scalar()

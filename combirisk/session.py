@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "combirisk") -> SparkSession:
@@ -47,3 +48,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def scalar_row(df: DataFrame, **aggregates: Column) -> Column:
+    """One aggregate row as a struct-valued scalar subquery: planned and run once."""
+    return df.agg(F.struct(*[a.alias(n) for n, a in aggregates.items()])).scalar()
