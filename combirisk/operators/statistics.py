@@ -185,12 +185,12 @@ def bootstrap_correlation(df: DataFrame, id_col: str, x: str, y: str, replicates
     """Correlation with its percentile interval from seeded resampling.
 
     Replicate r draws n rows with replacement: draw j takes the row whose
-    place in id order is hash(seed, r, j) mod n.  Draws are generated and
+    place in id-hash order is hash(seed, r, j) mod n.  Draws are generated and
     correlated per replicate in parallel; no resample is ever collected.
     """
     rows = cut_lineage(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(id_col, F.col(x).alias("x"), F.col(y).alias("y")))
-    placed = running_totals(rows.withColumn("one_", F.lit(1)), id_col, ["one_"]).select(id_col, (F.col("cum_one_") - 1).alias("place"))
-    indexed = rows.join(placed, id_col)
+    hashed = rows.withColumn("hash_", hash_number(F.lit(seed), F.col(id_col)))
+    indexed = cut_lineage(global_rank(hashed, "hash_", id_col, "place", descending=False).withColumn("place", F.col("place") - 1))
     n = rows.agg(F.count(F.lit(1))).scalar()
     slots = indexed.select(F.col("place").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     draws = slots.select("replicate", (hash_number(F.lit(seed), F.col("replicate"), F.col("slot")) % n).alias("place"))

@@ -202,7 +202,7 @@ REPLICATES = 200
 
 @query(
     "e9_bootstrap_correlation",
-    RISK_JOIN_SQL + f""", ix AS (SELECT *, row_number() OVER (ORDER BY item) - 1 AS place FROM rj), nn AS (SELECT count(*) AS n FROM ix),
+    RISK_JOIN_SQL + f""", ix AS (SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5('42-' || item), 1, 8) AS BIGINT), item) - 1 AS place FROM rj), nn AS (SELECT count(*) AS n FROM ix),
     dr AS (SELECT r, CAST('0x' || substr(md5('42-' || r || '-' || place), 1, 8) AS BIGINT) % n AS place FROM ix, nn, (SELECT unnest(range(0, {REPLICATES})) AS r)),
     sm AS (SELECT r, rank() OVER (PARTITION BY r ORDER BY risk) + (count(*) OVER (PARTITION BY r, risk) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY r ORDER BY report_risk) + (count(*) OVER (PARTITION BY r, report_risk) - 1) / 2.0::DOUBLE AS y FROM dr JOIN ix USING (place)),
     ea AS (SELECT r, corr(x, y) AS c FROM sm GROUP BY 1), wh AS (SELECT corr(x, y) AS c FROM (SELECT rank() OVER (ORDER BY risk) + (count(*) OVER (PARTITION BY risk) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY report_risk) + (count(*) OVER (PARTITION BY report_risk) - 1) / 2.0::DOUBLE AS y FROM rj))

@@ -146,7 +146,7 @@ def j8(spark, sf):
     return R.update_frequencies(effects.withColumn("frequency", F.lit("unknown")), updates)
 
 
-LINKS_SQL = """SELECT 'U' || (a.l_suppkey % 50) AS protein1, 'U' || (b.l_suppkey % 50) AS protein2, least(999, 300 + 10 * count(*)) AS score FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber GROUP BY 1, 2"""
+LINKS_SQL = """SELECT 'U' || (a.l_suppkey % 50) AS protein1, 'U' || (b.l_suppkey % 50) AS protein2, least(999, 300 + 20 * count(*)) AS score FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber GROUP BY 1, 2"""
 
 
 def protein_table(spark, sf):
@@ -162,7 +162,7 @@ def link_table(spark, sf):
     line = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("U"), (F.col("l_suppkey") % 50).cast("string")).alias("p"))
     nxt = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("p").alias("protein2"))
     return line.withColumnRenamed("p", "protein1").join(nxt, ["l_orderkey", "l_linenumber"]).groupBy("protein1", "protein2").agg(
-        F.least(F.lit(999), 300 + 10 * F.count(F.lit(1))).alias("score")
+        F.least(F.lit(999), 300 + 20 * F.count(F.lit(1))).alias("score")
     )
 
 
