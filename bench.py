@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import signal
 import sys
 import time
 
@@ -54,12 +55,30 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/lineitem.parquet").count()
     seconds = {}
+
+    def report(complete: bool) -> None:
+        print(
+            json.dumps(
+                {
+                    "metric": "total_seconds", "value": round(sum(seconds.values()), 2), "unit": "sec", "queries": seconds,
+                    "sf": os.path.basename(folder).removeprefix("sf"), "complete": complete,
+                }
+            ),
+            flush=True,
+        )
+
+    def stopped(*_) -> None:
+        # A time limit from outside: say what was measured and that it is partial.
+        report(False)
+        os._exit(1)
+
+    signal.signal(signal.SIGTERM, stopped)
     for name in names:
         start = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 2)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 2), "unit": "sec", "queries": seconds, "sf": os.path.basename(folder).removeprefix("sf")}))
+    report(True)
 
 
 if __name__ == "__main__":
