@@ -1,8 +1,13 @@
 """The queries of the corpus operators and the SQL that checks them."""
 
-from combirisk.llm import simhash
+from combirisk.llm import mixing, repetition, simhash, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_repetition_rules": repetition.op6_repetition_rules,
+    "op8_source_mixing": mixing.op8_source_mixing,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
 }
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op8_source_mixing": mixing.OP8_SQL,
+}
