@@ -114,7 +114,7 @@ class ToxicModel:
         floor = math.log(self.scale * max(n, 1))
         limit = -math.log(self.significance)
         found = [s for s in segments if self.rate * s[2] - floor > limit]
-        return math.log1p(sum(self.rate * s[2] - floor for s in found)), found
+        return math.log1p(sum(math.log1p(math.exp(min(self.rate * s[2] - floor, 500.0))) for s in found)), found
 
 
 def extreme_value_law(best: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
@@ -191,7 +191,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, max_features: int = 150_000, min_count: int = 3, drift: float = 0.1, significance: float = 1.0, prior_floor: float = 4.0, prior_rate: float = 0.1) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, max_features: int = 200_000, min_count: int = 2, drift: float = 0.7, significance: float = 1.0, prior_floor: float = 1.0, prior_rate: float = 0.05) -> ToxicModel:
     """Model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.  Without labels of both kinds every score is low."""
     context = docs.sparkSession.sparkContext
     sample = labelled_sample(docs, labels, sample_rows)
