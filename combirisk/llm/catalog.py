@@ -1,11 +1,12 @@
 """The queries of the corpus operators and the SQL that checks them."""
 
-from combirisk.llm import mixing, repetition, simhash, toxicity
+from combirisk.llm import mixing, repetition, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_repetition_rules": repetition.op6_repetition_rules,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
 }
 CHECKS: dict[str, str] = {

@@ -10,6 +10,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from combirisk.session import work_path
+
 # Bytes of text that one Arrow batch or one numpy block may hold before it is worked off.
 BLOCK_BYTES = 4 << 20
 
@@ -18,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and there for good when executors go."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_key(column: Column | str) -> Column:
     """64-bit key that tells apart rows with the same id and different texts; null and empty share one."""
     return F.xxhash64(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")))

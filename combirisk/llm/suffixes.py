@@ -55,26 +55,29 @@ def refine(suffixes: np.ndarray, starts: np.ndarray, step: int, limit: int | Non
     return starts
 
 
-def kasai(symbols: list, suffixes: np.ndarray, heads: np.ndarray, known: int) -> np.ndarray:
+def kasai(symbols, suffixes: np.ndarray, heads: np.ndarray, known: int, most: int | None = None, listed=None) -> np.ndarray:
     """Common prefix of each suffix with its predecessor in the sorted order, 0 at ``heads``.
 
     ``heads`` marks suffixes whose predecessor shares fewer than ``known`` symbols.
     Going through the text from left to right, a common prefix of h at i leaves at
     least h - 1 at i + 1, so all comparisons together are linear.  A suffix that
-    is not listed breaks the chain; the next one starts from ``known``.
+    is not listed breaks the chain; the next one starts from ``known``.  Where the
+    list lacks suffixes that share ``known`` symbols, ``listed`` says for every
+    position whether it is there.  ``most`` ends the comparison.
     """
     found = np.zeros(len(suffixes), np.int64)
     linked = np.flatnonzero(~heads)
     by_text = linked[np.argsort(suffixes[linked], kind="stable")]
     here = suffixes[by_text].tolist()
     there = suffixes[by_text - 1].tolist()
-    out, last, h = [], -2, known
+    most = len(symbols) if most is None else most
+    out, last, before, h = [], -2, 0, known
     for i, j in zip(here, there):
-        h = max(known, h - 1) if i == last + 1 else known
-        while symbols[i + h] == symbols[j + h]:
+        h = max(known, h - 1) if i == last + 1 and (listed is None or listed[before + 1]) else known
+        while h < most and symbols[i + h] == symbols[j + h]:
             h += 1
         out.append(h)
-        last = i
+        last, before = i, j
     found[by_text] = out
     return found
 
