@@ -1,8 +1,11 @@
 """The queries of the corpus operators and the SQL that checks them."""
 
-from combirisk.llm import mixing, repetition, simhash, suffix_dedup, toxicity
+import corpus_pipeline
+from combirisk.llm import decontamination, mixing, repetition, simhash, suffix_dedup, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_benchmark_decontamination": decontamination.op1_benchmark_decontamination,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_repetition_rules": repetition.op6_repetition_rules,
     "op8_source_mixing": mixing.op8_source_mixing,
