@@ -1,11 +1,12 @@
 """The queries of the corpus operators and the SQL that checks them."""
 
 import corpus_pipeline
-from combirisk.llm import chat, decontamination, mixing, repetition, simhash, suffix_dedup, toxicity
+from combirisk.llm import chat, decontamination, mixing, repetition, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_benchmark_decontamination": decontamination.op1_benchmark_decontamination,
+    "op3_warc_bundles": warc.op3_warc_bundles,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_repetition_rules": repetition.op6_repetition_rules,
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
 }
 CHECKS: dict[str, str] = {
+    "op3_warc_bundles": warc.OP3_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
 }
