@@ -1,7 +1,7 @@
 """The queries of the corpus operators and the SQL that checks them."""
 
 import corpus_pipeline
-from combirisk.llm import chat, decontamination, mixing, repetition, simhash, suffix_dedup, toxicity, warc
+from combirisk.llm import chat, decontamination, mixing, pseudo_likelihood, repetition, simhash, suffix_dedup, tokens, toxicity, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -10,7 +10,9 @@ QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_repetition_rules": repetition.op6_repetition_rules,
+    "op7_token_attribution": tokens.op7_token_attribution,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_pseudo_likelihood": pseudo_likelihood.op9_pseudo_likelihood,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
 }
