@@ -124,23 +124,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
 def training_order(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """The documents as training reads them: one row per copy, range-sorted by position.
 
-    Adds ``position`` and ``copy`` to the columns of ``docs``; documents that the
-    mix does not take are absent.
+    Adds ``copy`` and ``position`` to the columns of ``docs`` (and replaces columns
+    of these names); documents that the mix does not take are absent.
     """
     plan = mix(docs, weights, most)
     same = Window.partitionBy("_doc", "_key", "_source")
     plan = plan.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("source").alias("_source"), "positions")
     plan = plan.withColumn("_n", F.row_number().over(same.orderBy("positions"))).where(F.size("positions") > 0)
     # Rows equal in id, text and source share their copies in the order of their other columns.
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("position", "copy")]
-    keyed = docs.select(*columns, F.col("doc_id").cast("long").alias("_doc"), text_key("text").alias("_key"), F.col("source").alias("_source"))
-    keyed = keyed.withColumn("_n", F.row_number().over(same.orderBy(*[c.asc_nulls_first() for c in columns])))
+    # The row travels as one struct, so no column of it can clash.
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_doc"), text_key("text").alias("_key"), F.col("source").alias("_source"))
+    keyed = keyed.withColumn("_n", F.row_number().over(same.orderBy("row")))
     joined = keyed.alias("d").join(
         plan.alias("p"),
         F.col("d._doc").eqNullSafe(F.col("p._doc")) & (F.col("d._key") == F.col("p._key")) & F.col("d._source").eqNullSafe(F.col("p._source")) & (F.col("d._n") == F.col("p._n")),
     )
-    copies = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns if c not in ("position", "copy")], F.posexplode("p.positions").alias("copy", "position"))
-    return copies.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+    copies = joined.select("d.row", F.col("d._doc").alias("_doc"), F.posexplode("p.positions").alias("_copy", "_position"))
+    ordered = copies.repartitionByRange("_position", "_doc", "_copy").sortWithinPartitions("_position", "_doc", "_copy")
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("copy", "position")]
+    return ordered.select(*kept, F.col("_copy").alias("copy"), F.col("_position").alias("position"))
 
 
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -286,7 +286,7 @@ def score(docs: DataFrame, model: tuple[Network, Coder]) -> DataFrame:
         for block in blocks(batches, "text"):
             symbols, at, counts = coder.texts(block.column("text").to_pylist())
             logs = network.log_probabilities(symbols, at)
-            sums = np.bincount(np.repeat(np.arange(len(counts)), counts), logs, len(counts))
+            sums = np.bincount(np.repeat(np.arange(len(counts)), counts), logs, len(counts)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(counts), pa.array(sums)], ["doc_id", "n_tokens", "log_likelihood"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")

@@ -145,13 +145,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Of identical keys one row stays, the smallest by its other columns.
     """
-    found = near_duplicates(docs)
-    kept = found.select("first").distinct().select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
-    keyed = docs.withColumn("_key", text_key("text"))
-    order = [F.col(f"`{c}`").asc_nulls_first() for c in docs.columns]
-    chosen = keyed.join(kept.withColumnRenamed("_key", "_kept"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_kept")), "left_semi")
-    ranked = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(*order)))
-    return ranked.where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = near_duplicates(docs).select("first").distinct().select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("kept"))
+    # The row travels as one struct, so no column of it can clash.
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("key"))
+    chosen = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("kept")), "left_semi")
+    ranked = chosen.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("row")))
+    return ranked.where("place = 1").select("row.*")
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -199,7 +199,7 @@ def _runs(positions: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndar
     fresh = np.ones(len(positions), bool)
     fresh[1:] = (np.diff(positions) != 1) | (parts[1:] != parts[:-1])
     first = np.flatnonzero(fresh)
-    return first, np.append(first[1:], len(positions)) - 1
+    return first, np.append(first, len(positions))[1:] - 1
 
 
 def _shard_rows(rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -345,14 +345,13 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             old = batch.column("text")
             texts = pa.array([k.decode("utf-8", "ignore") if v else None for (_, _, k), v in zip(_kept(batch), old.is_valid().to_pylist())], pa.string())
-            sizes = pc.utf8_length(texts).cast(pa.int64())
-            anew = {"text": texts, "n_chars": sizes}
-            yield pa.RecordBatch.from_arrays([anew[c].cast(batch.column(c).type) if c in anew else batch.column(c) for c in columns], columns)
-
-    keyed = docs.withColumn("key", text_key("text"))
-    if dict(docs.dtypes)["doc_id"] != "bigint":
-        raise ValueError("doc_id must be a long")
-    return _with_spans(keyed).select(*[F.col(f"`{c}`") for c in columns], "_spans").mapInArrow(finish, docs.schema)
+            anew = {"text": texts, "n_chars": pc.utf8_length(texts)}
+            row = batch.column("row").flatten()
+            yield pa.RecordBatch.from_arrays([anew[c].cast(v.type) if c in anew else v for c, v in zip(columns, row)], columns)
+
+    # The row travels as one struct, so no column of it can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("key"), "text")
+    return _with_spans(rows).select("row", "text", "_spans").mapInArrow(finish, docs.schema)
 
 
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
