@@ -56,25 +56,21 @@ def severity_profile() -> Column:
     return F.least(F.lit(1.0), score / (10.0 * F.greatest(F.lit(1), total)))
 
 
-def node_metrics(edges: DataFrame, betweenness: DataFrame | None = None) -> DataFrame:
+def node_metrics(edges: DataFrame, betweenness: DataFrame) -> DataFrame:
     """Centralities, severity profile and the composite index of every item.
 
-    ``betweenness(item, betweenness)`` comes from the traversal kernel; without
-    it degree over the largest degree stands in, as in the light variant.
+    ``betweenness(item, betweenness)`` comes from the traversal kernel.
     """
     degrees = degree_table(edges)
-    bounds = scalar_row(degrees, n=F.count(F.lit(1)), w=F.max("weight_sum"), d=F.max("degree"))
-    n, top_weight, top_degree = bounds["n"], bounds["w"], bounds["d"]
+    bounds = scalar_row(degrees, n=F.count(F.lit(1)), w=F.max("weight_sum"))
+    n, top_weight = bounds["n"], bounds["w"]
     metrics = degrees.select(
         "*",
         (F.col("degree") / F.greatest(n - 1, F.lit(1))).alias("degree_centrality"),
         (F.col("weight_sum") / top_weight).alias("weighted_degree"),
         severity_profile().alias("severity_profile"),
     )
-    if betweenness is None:
-        metrics = metrics.withColumn("betweenness", F.col("degree") / top_degree)
-    else:
-        metrics = metrics.join(betweenness.select("item", "betweenness"), "item", "left").fillna(0.0, ["betweenness"])
+    metrics = metrics.join(betweenness.select("item", "betweenness"), "item", "left").fillna(0.0, ["betweenness"])
     w = PRI_WEIGHTS
     pri = (
         w["degree"] * F.col("degree_centrality")

@@ -37,6 +37,37 @@ def phenotype_list(column: str) -> str:
     return f"list_filter([{parts}], lambda x: x IS NOT NULL)"
 
 
+# Levels written out in the check queries.
+DEPTH = 8
+SOURCES = 100
+
+
+def walk_sql(sources: str, prefix: str = "", counted: bool = True) -> str:
+    """Breadth-first levels l0..l8 and everything seen s0..s8, written out."""
+    p = prefix
+    parts = [f"{p}g AS MATERIALIZED (SELECT item, other FROM sym), {p}l0 AS MATERIALIZED (SELECT item AS source, item AS node, 1.0::DOUBLE AS sigma FROM ({sources})), {p}s0 AS MATERIALIZED (SELECT source, node, 0 AS dist FROM {p}l0)"]
+    for d in range(1, DEPTH + 1):
+        total = "sum(sigma)" if counted else "1.0::DOUBLE"
+        parts.append(
+            f"{p}l{d} AS MATERIALIZED (SELECT l.source, g.other AS node, {total} AS sigma FROM {p}l{d - 1} l JOIN {p}g g ON l.node = g.item ANTI JOIN {p}s{d - 1} s ON l.source = s.source AND g.other = s.node GROUP BY 1, 2), "
+            f"{p}s{d} AS MATERIALIZED (SELECT * FROM {p}s{d - 1} UNION ALL SELECT source, node, {d} FROM {p}l{d})"
+        )
+    return ", ".join(parts)
+
+
+def between_sql(sources: str, prefix: str = "") -> str:
+    """Dependency sums over the sources, divided by the largest, as ``btw(item, betweenness)``."""
+    p = prefix
+    parts = [walk_sql(sources, p), f"{p}d{DEPTH} AS MATERIALIZED (SELECT source, node, 0.0::DOUBLE AS delta FROM {p}l{DEPTH})"]
+    for d in range(DEPTH - 1, 0, -1):
+        parts.append(
+            f"{p}d{d} AS MATERIALIZED (SELECT p.source, p.node, coalesce(sum(p.sigma / c.sigma * (1 + x.delta)), 0) AS delta FROM {p}l{d} p LEFT JOIN ({p}l{d + 1} c JOIN {p}d{d + 1} x ON c.source = x.source AND c.node = x.node JOIN {p}g g ON c.node = g.item) ON p.source = c.source AND p.node = g.other GROUP BY 1, 2)"
+        )
+    union = " UNION ALL ".join(f"SELECT node, delta FROM {p}d{d}" for d in range(1, DEPTH + 1))
+    parts.append(f"{p}bt AS (SELECT node AS item, sum(delta) AS b FROM ({union}) GROUP BY 1), {p}btw AS MATERIALIZED (SELECT n.item, coalesce(b, 0) / (SELECT max(b) FROM {p}bt) AS betweenness FROM nodes n LEFT JOIN {p}bt USING (item))")
+    return ", ".join(parts)
+
+
 _VIEWS = f"""
 part_keys AS (
   SELECT p_partkey, p_type,
@@ -81,9 +112,11 @@ pair_rows AS (
     CASE WHEN a.rf = 'R' AND b.rf = 'R' THEN 4 WHEN a.rf = 'R' OR b.rf = 'R' THEN 3
          WHEN a.rf = 'N' OR b.rf = 'N' THEN 2 ELSE 1 END AS num,
     CAST((a.l_partkey + b.l_partkey + a.l_suppkey + b.l_suppkey) % {len(TEMPLATES)} AS INTEGER) AS slot,
-    (40 + (a.l_partkey + b.l_partkey) % 56) / 100.0::DOUBLE AS conf
-  FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber
-  WHERE a.item <> b.item AND a.disc + b.disc >= 13),
+    (40 + 2 * (a.disc + b.disc) + (a.l_partkey + b.l_partkey) % 16) / 100.0::DOUBLE AS conf
+  FROM lines a
+  JOIN (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next_key FROM orders) ON a.l_orderkey = o_orderkey
+  JOIN lines b ON b.l_orderkey = next_key AND a.l_linenumber = b.l_linenumber
+  WHERE a.item <> b.item),
 directed AS (
   SELECT ia AS i1, ib AS i2, ida AS id1, idb AS id2, num, slot, conf FROM pair_rows
   UNION ALL SELECT ib, ia, idb, ida, num, slot, conf FROM pair_rows),
@@ -117,18 +150,19 @@ tagged_edges AS (SELECT *, {phenotype_list('description')} AS phenotypes FROM ed
 sym AS (SELECT a AS item, b AS other, numeric, label, weight, description, confidence FROM edges
         UNION ALL SELECT b, a, numeric, label, weight, description, confidence FROM edges),
 nodes AS (SELECT DISTINCT item FROM sym),
-metrics AS (
+{between_sql(f"SELECT item FROM nodes ORDER BY item LIMIT {SOURCES}", "bw_")},
+metrics AS MATERIALIZED (
   SELECT item, degree, wsum, c4, c3, c2, c1,
     degree / (n - 1)::DOUBLE AS degree_centrality,
     wsum / max(wsum) OVER () AS weighted_degree,
-    degree / (max(degree) OVER ())::DOUBLE AS betweenness,
+    betweenness,
     least(1.0, (10 * c4 + 7 * c3 + 4 * c2 + c1) / (10.0 * greatest(1, c4 + c3 + c2 + c1))) AS severity_profile
   FROM (SELECT item, count(*) AS degree, sum(weight) AS wsum,
           count(*) FILTER (numeric = 4) AS c4, count(*) FILTER (numeric = 3) AS c3,
           count(*) FILTER (numeric = 2) AS c2, count(*) FILTER (numeric = 1) AS c1,
           count(*) OVER () AS n
-        FROM sym GROUP BY item)),
-pri AS (
+        FROM sym GROUP BY item) JOIN bw_btw USING (item)),
+pri AS MATERIALIZED (
   SELECT *, 0.25::DOUBLE * degree_centrality + 0.30::DOUBLE * weighted_degree + 0.20::DOUBLE * betweenness
             + 0.25::DOUBLE * severity_profile AS pri FROM metrics),
 share_pri AS (

@@ -8,38 +8,24 @@ from combirisk.operators import iterative as I
 from combirisk.operators import network as N
 from combirisk.operators import traversal as T
 from combirisk.operators.pairs import symmetric
+from combirisk.plans import check_views
 from combirisk.plans import views as V
 from combirisk.plans.registry import query
 from combirisk.plans.table_queries import CODED_SQL, GRAPH_EDGES_SQL, GRAPH_NODES_SQL, SEVERE_SQL, coded_items, property_graph
 from combirisk.session import cut_lineage
 
-# Levels and rounds written out in the check queries.
-DEPTH = 8
+DEPTH = check_views.DEPTH
+# Rounds written out in the check queries.
 ROUNDS = 10
-SOURCES = 100
+SOURCES = V.SOURCES
 
 
 def walk_sql(sources: str, counted: bool = True) -> str:
-    """Breadth-first levels l0..l8 and everything seen s0..s8, written out."""
-    parts = [f", g AS MATERIALIZED (SELECT item, other FROM sym), l0 AS MATERIALIZED (SELECT item AS source, item AS node, 1.0::DOUBLE AS sigma FROM ({sources})), s0 AS MATERIALIZED (SELECT source, node, 0 AS dist FROM l0)"]
-    for d in range(1, DEPTH + 1):
-        total = "sum(sigma)" if counted else "1.0::DOUBLE"
-        parts.append(
-            f", l{d} AS MATERIALIZED (SELECT l.source, g.other AS node, {total} AS sigma FROM l{d - 1} l JOIN g ON l.node = g.item ANTI JOIN s{d - 1} s ON l.source = s.source AND g.other = s.node GROUP BY 1, 2)"
-            f", s{d} AS MATERIALIZED (SELECT * FROM s{d - 1} UNION ALL SELECT source, node, {d} FROM l{d})"
-        )
-    return "".join(parts)
+    return ", " + check_views.walk_sql(sources, counted=counted)
 
 
 def between_sql(sources: str) -> str:
-    parts = [walk_sql(sources), f", d{DEPTH} AS MATERIALIZED (SELECT source, node, 0.0::DOUBLE AS delta FROM l{DEPTH})"]
-    for d in range(DEPTH - 1, 0, -1):
-        parts.append(
-            f", d{d} AS MATERIALIZED (SELECT p.source, p.node, coalesce(sum(p.sigma / c.sigma * (1 + x.delta)), 0) AS delta FROM l{d} p LEFT JOIN (l{d + 1} c JOIN d{d + 1} x ON c.source = x.source AND c.node = x.node JOIN g ON c.node = g.item) ON p.source = c.source AND p.node = g.other GROUP BY 1, 2)"
-        )
-    union = " UNION ALL ".join(f"SELECT node, delta FROM d{d}" for d in range(1, DEPTH + 1))
-    parts.append(f", bt AS (SELECT node AS item, sum(delta) AS b FROM ({union}) GROUP BY 1), btw AS MATERIALIZED (SELECT n.item, coalesce(b, 0) / (SELECT max(b) FROM bt) AS betweenness FROM nodes n LEFT JOIN bt USING (item))")
-    return "".join(parts)
+    return ", " + check_views.between_sql(sources)
 
 
 FIRST_SQL = f"SELECT item FROM nodes ORDER BY item LIMIT {SOURCES}"
@@ -76,8 +62,7 @@ def g2(spark, sf):
     return V.tagged_edges(spark, sf).select("a", "b", "label", "weight", F.array_join("phenotypes", "|").alias("phenotypes"), "n_rows")
 
 
-def metrics(spark, sf):
-    return N.node_metrics(V.edges(spark, sf))
+metrics = V.item_metrics
 
 
 @query("g3_degree_centrality", "SELECT item, degree, round(degree_centrality, 9) AS degree_centrality FROM metrics")
@@ -184,7 +169,7 @@ def g13(spark, sf):
 @query("g13_community_report")
 def g13_report(spark, sf):
     edges = cut_lineage(V.edges(spark, sf).select("a", "b", "label", "weight"))
-    items = V.items(spark, sf).join(N.node_metrics(edges).select("item", F.col("pri").alias("risk_score")), "item")
+    items = V.items(spark, sf).join(V.item_metrics(spark, sf).select("item", F.col("pri").alias("risk_score")), "item")
     return I.community_report(I.communities(edges), items)
 
 
@@ -245,7 +230,7 @@ def g15(spark, sf):
 )
 def g16(spark, sf):
     edges = V.edges(spark, sf)
-    return N.robustness(edges, N.removal_ranks(N.node_metrics(edges)))
+    return N.robustness(edges, N.removal_ranks(V.item_metrics(spark, sf)))
 
 
 @query("g17_degree_distribution", "SELECT degree, count(*) AS n FROM metrics GROUP BY 1")

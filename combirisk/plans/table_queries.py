@@ -106,7 +106,7 @@ def a7(spark, sf):
 
 def coded_items(spark, sf):
     """(item, l1, l2, pri, severe, flagged) of every item in the network."""
-    metrics = N.node_metrics(V.edges(spark, sf)).select("item", "pri", (F.col("contraindicated") + F.col("major")).alias("severe"))
+    metrics = V.item_metrics(spark, sf).select("item", "pri", (F.col("contraindicated") + F.col("major")).alias("severe"))
     first = F.get("codes", F.lit(0))
     items = V.items(spark, sf).select(
         "item", F.coalesce(code_level(first, 1), F.lit("none")).alias("l1"), F.coalesce(code_level(first, 2), F.lit("none")).alias("l2"),
@@ -167,7 +167,7 @@ MOMENTS_SQL = (
     ),
 )
 def a11(spark, sf):
-    return S.descriptive(N.node_metrics(V.edges(spark, sf)), METRICS)
+    return S.descriptive(V.item_metrics(spark, sf), METRICS)
 
 
 PAIRS = [(x, y) for i, x in enumerate(METRICS) for y in METRICS[i + 1 :]]
@@ -175,7 +175,7 @@ PAIRS = [(x, y) for i, x in enumerate(METRICS) for y in METRICS[i + 1 :]]
 
 @query("a12_pearson", " UNION ALL ".join(f"SELECT {lit(x)} AS x, {lit(y)} AS y, round(corr({x}, {y}), 6) AS r FROM pri" for x, y in PAIRS))
 def a12(spark, sf):
-    return S.correlation_matrix(N.node_metrics(V.edges(spark, sf)), METRICS)
+    return S.correlation_matrix(V.item_metrics(spark, sf), METRICS)
 
 
 RANKED_SQL = ", rk AS (SELECT item, " + ", ".join(f"rank() OVER (ORDER BY round({m}, 9)) + (count(*) OVER (PARTITION BY round({m}, 9)) - 1) / 2.0 AS {m}" for m in METRICS) + " FROM pri)"
@@ -183,7 +183,7 @@ RANKED_SQL = ", rk AS (SELECT item, " + ", ".join(f"rank() OVER (ORDER BY round(
 
 @query("a12_spearman", RANKED_SQL + " UNION ALL ".join(f" SELECT {lit(x)} AS x, {lit(y)} AS y, round(corr({x}, {y}), 6) AS r FROM rk" for x, y in PAIRS))
 def a12_spearman(spark, sf):
-    metrics = N.node_metrics(V.edges(spark, sf)).select("item", *[F.round(m, 9).alias(m) for m in METRICS])
+    metrics = V.item_metrics(spark, sf).select("item", *[F.round(m, 9).alias(m) for m in METRICS])
     return S.correlation_matrix(metrics, METRICS, "spearman")
 
 
@@ -349,7 +349,7 @@ def a22(spark, sf):
     ", b AS (SELECT min(pri) AS lo, max(pri) AS hi FROM pri) SELECT CAST(least(floor(round((pri - lo) / (hi - lo) * 50, 9)), 49) AS INTEGER) AS bucket, count(*) AS n FROM pri, b GROUP BY 1",
 )
 def a23(spark, sf):
-    return A.histogram(N.node_metrics(V.edges(spark, sf)).select("pri"), "pri")
+    return A.histogram(V.item_metrics(spark, sf).select("pri"), "pri")
 
 
 @query(
@@ -382,7 +382,7 @@ def a25(spark, sf):
 
 @query("w1_top_items", "SELECT item, degree, round(pri, 6) AS pri FROM pri ORDER BY round(pri, 6) DESC, item LIMIT 20")
 def w1(spark, sf):
-    metrics = N.node_metrics(V.edges(spark, sf)).select("item", "degree", F.round("pri", 6).alias("pri"))
+    metrics = V.item_metrics(spark, sf).select("item", "degree", F.round("pri", 6).alias("pri"))
     return W.top_k(metrics, 20, F.desc("pri"), F.asc("item"))
 
 

@@ -1,21 +1,30 @@
 """Interaction-domain views over the generated star-schema tables.
 
 Every view is a plain DataFrame over whole tables: items come from parts,
-regimens are orders, interaction rows are neighbouring lines of one order
-whose discounts add up to 13 cents or more, attributes are each item's leading
-ship months, supplier groups, customer segments and supplier nations.  The
-neighbour join is an equi-join on (order, line number): its output is linear
-in the lines, however large one order gets.
+regimens are orders, an interaction row pairs a line with the line of the same
+number in the customer's next order, attributes are each item's leading ship
+months, supplier groups, customer segments and supplier nations.  Regimens do not
+make the interactions of their own items.  The pairing is an equi-join on (order,
+line number): its output is linear in the lines, however large one order gets.
+
+Views that many queries read are written once per session and table folder into
+the shared folder and read from there; ``forget`` drops them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from combirisk.functions.codes import parse_code_list, starts_any
 from combirisk.functions.text import phenotype_tags
+from combirisk.operators.network import node_metrics
 from combirisk.operators.pairs import max_severity_edges
+from combirisk.operators.traversal import betweenness, first_sources
 from combirisk.plans.view_words import (
     COLOURS,
     EFFECTS,
@@ -26,6 +35,36 @@ from combirisk.plans.view_words import (
     SHAPES,
     TEMPLATES,
 )
+from combirisk.session import work_path
+
+# Sources of the betweenness in the priority index.
+SOURCES = 100
+
+
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def written(view: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The view as a table of this session, computed by its first reader."""
+
+    @wraps(view)
+    def read(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, view.__name__)
+        if key not in _WRITTEN:
+            found = view(spark, sf)
+            path = work_path(spark, view.__name__)
+            found.write.parquet(path)
+            _WRITTEN[key] = (path, found.schema)
+        path, schema = _WRITTEN[key]
+        # A frame of its own for every reader, so that self-joins stay unambiguous.
+        return spark.read.schema(schema).parquet(path)
+
+    return read
+
+
+def forget() -> None:
+    """Compute views anew from now on, for instance after the tables changed."""
+    _WRITTEN.clear()
 
 
 def words(values: list[str | None]):
@@ -62,6 +101,7 @@ def _named_parts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@written
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """One row per item with its code list as text, parsed codes and flags."""
     base = (
@@ -95,6 +135,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@written
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines with the item of their part."""
     parts = _named_parts(spark, sf).select("p_partkey", "item", "drug_id")
@@ -117,18 +158,19 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@written
 def interactions(spark: SparkSession, sf: str) -> DataFrame:
     """Directed interaction rows in the published column layout."""
     line = lines(spark, sf).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "item", "drug_id", "disc", "rf"
     )
-    left = line.select(*[F.col(c).alias(f"{c}_a") for c in line.columns])
+    following = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey_a"),
+        F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("l_orderkey_b"),
+    )
+    left = line.select(*[F.col(c).alias(f"{c}_a") for c in line.columns]).join(following, "l_orderkey_a")
     right = line.select(*[F.col(c).alias(f"{c}_b") for c in line.columns])
-    both = left.join(
-        right,
-        (F.col("l_orderkey_a") == F.col("l_orderkey_b"))
-        & (F.col("l_linenumber_a") + 1 == F.col("l_linenumber_b")),
-    ).filter((F.col("item_a") != F.col("item_b")) & (F.col("disc_a") + F.col("disc_b") >= 13))
+    both = left.join(right.withColumnRenamed("l_linenumber_b", "l_linenumber_a"), ["l_orderkey_b", "l_linenumber_a"]).filter(F.col("item_a") != F.col("item_b"))
     returned = (F.col("rf_a") == "R").cast("int") + (F.col("rf_b") == "R").cast("int")
     numeric = (
         F.when(returned == 2, 4)
@@ -143,7 +185,7 @@ def interactions(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.col("item_b").alias("item"), F.col("drug_id_b").alias("drug_id")).alias("b"),
         numeric.alias("num"),
         slot.alias("slot"),
-        ((F.lit(40) + keys % 56) / 100.0).alias("conf"),
+        ((F.lit(40) + 2 * (F.col("disc_a") + F.col("disc_b")) + keys % 16) / 100.0).alias("conf"),
     )
     directed = pair.select(
         F.explode(
@@ -195,15 +237,25 @@ def interactions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@written
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """One row per unordered pair, highest severity kept."""
     return max_severity_edges(interactions(spark, sf))
 
 
+@written
 def tagged_edges(spark: SparkSession, sf: str) -> DataFrame:
     return edges(spark, sf).withColumn("phenotypes", phenotype_tags("description"))
 
 
+@written
+def item_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Centralities and priority index of every item, betweenness from the first sources included."""
+    found = edges(spark, sf).select("a", "b", "label", "weight")
+    return node_metrics(found, betweenness(found, first_sources(found, SOURCES)))
+
+
+@written
 def regimens(spark: SparkSession, sf: str) -> DataFrame:
     """Each order is one regimen: its distinct items with their first position."""
     return (
