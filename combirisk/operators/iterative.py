@@ -32,7 +32,7 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, toleran
     return ranks
 
 
-def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+def eigenvector(edges: DataFrame, rounds: int = 1000, tolerance: float | None = 1e-6) -> DataFrame:
     """(item, eigenvector): power iteration on A + I, unit Euclidean length after every round."""
     graph = cut_lineage(symmetric(edges.select("a", "b")))
     items = graph.select("item").distinct()

@@ -197,7 +197,7 @@ def risk_and_reports(spark, sf):
     return cut_lineage(risk.join(profiles, "item"))
 
 
-REPLICATES = 200
+REPLICATES = 1000
 
 
 @query(
@@ -434,12 +434,16 @@ def e17(spark, sf):
 
 
 def text_pairs(spark, sf):
-    """(case_id, generated, reference): each conversation turn against the document of the same number."""
-    turns = V.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.col("conv_id").alias("doc_id"), F.col("text").alias("generated"))
-    return turns.join(V.table(spark, sf, "documents").select("doc_id", F.col("text").alias("reference")), "doc_id").select("case_id", "generated", "reference")
+    """(case_id, generated, reference): every document against the first turn of conversation doc_id mod their number."""
+    talks = V.table(spark, sf, "conversations")
+    first = talks.groupBy("conv_id").agg(F.min_by("text", "turn").alias("generated"))
+    # Conversations are numbered from 0 without gaps.
+    n = talks.agg(F.max("conv_id") + 1).scalar()
+    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), (F.col("doc_id") % n).alias("conv_id"), F.col("text").alias("reference"))
+    return docs.join(first, "conv_id").select("case_id", "generated", "reference")
 
 
-ROUGE_SQL = """WITH cs AS (SELECT conv_id * 1000 + turn AS case_id, c.text AS g, d.text AS r FROM conversations c JOIN documents d ON d.doc_id = c.conv_id), tk AS MATERIALIZED (SELECT case_id, list_filter(string_split(regexp_replace(lower(g), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS g, list_filter(string_split(regexp_replace(lower(r), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS r FROM cs),
+ROUGE_SQL = """WITH cs AS (SELECT doc_id AS case_id, c.g, d.text AS r FROM documents d JOIN (SELECT conv_id, arg_min(text, turn) AS g FROM conversations GROUP BY 1) c ON c.conv_id = d.doc_id % (SELECT max(conv_id) + 1 FROM conversations)), tk AS MATERIALIZED (SELECT case_id, list_filter(string_split(regexp_replace(lower(g), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS g, list_filter(string_split(regexp_replace(lower(r), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS r FROM cs),
   g1 AS (SELECT case_id, w, count(*) AS n FROM (SELECT case_id, unnest(g) AS w FROM tk) GROUP BY 1, 2), r1 AS (SELECT case_id, w, count(*) AS n FROM (SELECT case_id, unnest(r) AS w FROM tk) GROUP BY 1, 2), o1 AS (SELECT case_id, sum(least(g1.n, r1.n)) AS o FROM g1 JOIN r1 USING (case_id, w) GROUP BY 1),
   g2 AS (SELECT case_id, w, count(*) AS n FROM (SELECT case_id, unnest(list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1])) AS w FROM tk) GROUP BY 1, 2), r2 AS (SELECT case_id, w, count(*) AS n FROM (SELECT case_id, unnest(list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1])) AS w FROM tk) GROUP BY 1, 2), o2 AS (SELECT case_id, sum(least(g2.n, r2.n)) AS o FROM g2 JOIN r2 USING (case_id, w) GROUP BY 1)
   SELECT case_id, round(CASE WHEN len(g) + len(r) > 0 THEN 2.0 * coalesce(o1.o, 0) / (len(g) + len(r))::DOUBLE ELSE 0 END, 6) AS rouge_1, round(CASE WHEN greatest(len(g) - 1, 0) + greatest(len(r) - 1, 0) > 0 THEN 2.0 * coalesce(o2.o, 0) / (greatest(len(g) - 1, 0) + greatest(len(r) - 1, 0))::DOUBLE ELSE 0 END, 6) AS rouge_2 FROM tk LEFT JOIN o1 USING (case_id) LEFT JOIN o2 USING (case_id)"""

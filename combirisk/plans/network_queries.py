@@ -15,8 +15,9 @@ from combirisk.plans.table_queries import CODED_SQL, GRAPH_EDGES_SQL, GRAPH_NODE
 from combirisk.session import cut_lineage
 
 DEPTH = check_views.DEPTH
-# Rounds written out in the check queries.
-ROUNDS = 10
+# Rounds written out in the check queries, more than the test tables need to converge.
+ROUNDS = 36
+TOLERANCE = 1e-6
 SOURCES = V.SOURCES
 
 
@@ -29,13 +30,24 @@ def between_sql(sources: str) -> str:
 
 
 FIRST_SQL = f"SELECT item FROM nodes ORDER BY item LIMIT {SOURCES}"
+# Sources of the stand-alone risk score and of the centralities side by side.
+WIDE_SOURCES = 500
+WIDE_SQL = f"SELECT item FROM nodes ORDER BY item LIMIT {WIDE_SOURCES}"
+
+
+def stopped_sql(name: str, rounds: str, value: str, every: int) -> str:
+    """``name(item, value)``: the first round, of every so many, whose change is below n * TOLERANCE."""
+    checked = range(every, ROUNDS + 1, every)
+    changes = " UNION ALL ".join(f"SELECT {i} AS i, sum(abs(x.{value} - y.{value})) AS c, count(*) AS n FROM {rounds}{i} x JOIN {rounds}{i - 1} y USING (item)" for i in checked)
+    picked = " UNION ALL ".join(f"SELECT item, {value} FROM {rounds}{i} WHERE (SELECT i FROM {name}_stop) = {i}" for i in checked)
+    return f", {name}_stop AS MATERIALIZED (SELECT min(i) AS i FROM ({changes}) WHERE c < n * {TOLERANCE}), {name} AS MATERIALIZED ({picked})"
 
 
 def pagerank_sql() -> str:
     parts = [", pd AS MATERIALIZED (SELECT item, count(*) AS d FROM sym GROUP BY 1), pn AS (SELECT count(*)::DOUBLE AS n FROM pd), p0 AS MATERIALIZED (SELECT item, 1 / n AS r FROM pd, pn)"]
     for i in range(1, ROUNDS + 1):
         parts.append(f", p{i} AS MATERIALIZED (SELECT s.other AS item, 0.15::DOUBLE / max(n) + 0.85::DOUBLE * sum(r / d) AS r FROM p{i - 1} JOIN pd USING (item) JOIN sym s USING (item), pn GROUP BY 1)")
-    return "".join(parts)
+    return "".join(parts) + stopped_sql("pr", "p", "r", I.ROUNDS_PER_CUT)
 
 
 def eigen_sql() -> str:
@@ -44,7 +56,7 @@ def eigen_sql() -> str:
         parts.append(
             f", er{i} AS MATERIALIZED (SELECT e.item, max(e.x) + sum(o.x) AS x FROM e{i - 1} e JOIN sym s ON e.item = s.item JOIN e{i - 1} o ON o.item = s.other GROUP BY 1), e{i} AS MATERIALIZED (SELECT item, x / sqrt(sum(x * x) OVER ()) AS x FROM er{i})"
         )
-    return "".join(parts)
+    return "".join(parts) + stopped_sql("ev", "e", "x", 1)
 
 
 @query(
@@ -75,14 +87,14 @@ def g4(spark, sf):
     return metrics(spark, sf).select("item", "weight_sum", F.round("weighted_degree", 9).alias("weighted_degree"))
 
 
-def first_betweenness(spark, sf, edges):
-    return T.betweenness(edges, T.first_sources(edges, SOURCES))
+def first_betweenness(edges, sources=SOURCES):
+    return T.betweenness(edges, T.first_sources(edges, sources))
 
 
 @query("g5_betweenness", between_sql(FIRST_SQL) + " SELECT item, round(betweenness, 6) AS betweenness FROM btw")
 def g5(spark, sf):
     edges = cut_lineage(V.edges(spark, sf).select("a", "b"))
-    return first_betweenness(spark, sf, edges).select("item", F.round("betweenness", 6).alias("betweenness"))
+    return first_betweenness(edges).select("item", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query("g6_severity_profile", "SELECT item, c4 AS contraindicated, c3 AS major, c2 AS moderate, c1 AS minor, round(severity_profile, 6) AS severity_profile FROM metrics")
@@ -96,7 +108,7 @@ def g6(spark, sf):
 )
 def g7(spark, sf):
     edges = cut_lineage(V.edges(spark, sf).select("a", "b", "label", "weight"))
-    return N.node_metrics(edges, first_betweenness(spark, sf, edges)).select("item", F.round("pri", 6).alias("pri"))
+    return N.node_metrics(edges, first_betweenness(edges)).select("item", F.round("pri", 6).alias("pri"))
 
 
 @query("g8_share_index", "SELECT item, degree, wshare AS weight_share, severe, pri, risk_level FROM share_pri")
@@ -106,22 +118,22 @@ def g8(spark, sf):
 
 @query(
     "g9_composite_risk",
-    between_sql(FIRST_SQL) + " SELECT item, round(0.4 * wsum / (max(wsum) OVER ()) + 0.3 * degree_centrality / (max(degree_centrality) OVER ()) + 0.3 * w.betweenness / (max(w.betweenness) OVER ()), 6) AS risk_score FROM metrics JOIN btw w USING (item)",
+    between_sql(WIDE_SQL) + " SELECT item, round(0.4 * wsum / (max(wsum) OVER ()) + 0.3 * degree_centrality / (max(degree_centrality) OVER ()) + 0.3 * w.betweenness / (max(w.betweenness) OVER ()), 6) AS risk_score FROM metrics JOIN btw w USING (item)",
 )
 def g9(spark, sf):
     edges = cut_lineage(V.edges(spark, sf).select("a", "b", "label", "weight"))
-    scored = N.composite_risk(N.node_metrics(edges, first_betweenness(spark, sf, edges)))
+    scored = N.composite_risk(N.node_metrics(edges, first_betweenness(edges, WIDE_SOURCES)))
     return scored.select("item", F.round("risk_score", 6).alias("risk_score"))
 
 
-@query("g10_pagerank", pagerank_sql() + f" SELECT item, round(r, 9) AS pagerank FROM p{ROUNDS}")
+@query("g10_pagerank", pagerank_sql() + f" SELECT item, round(r, 9) AS pagerank FROM pr")
 def g10(spark, sf):
-    return I.pagerank(V.edges(spark, sf), ROUNDS, tolerance=None).select("item", F.round("pagerank", 9).alias("pagerank"))
+    return I.pagerank(V.edges(spark, sf), tolerance=TOLERANCE).select("item", F.round("pagerank", 9).alias("pagerank"))
 
 
-@query("g11_eigenvector", eigen_sql() + f" SELECT item, round(x, 8) AS eigenvector FROM e{ROUNDS}")
+@query("g11_eigenvector", eigen_sql() + f" SELECT item, round(x, 8) AS eigenvector FROM ev")
 def g11(spark, sf):
-    return I.eigenvector(V.edges(spark, sf), ROUNDS, tolerance=None).select("item", F.round("eigenvector", 8).alias("eigenvector"))
+    return I.eigenvector(V.edges(spark, sf), tolerance=TOLERANCE).select("item", F.round("eigenvector", 8).alias("eigenvector"))
 
 
 CLOSENESS_SQL = f", cl AS (SELECT node AS item, CASE WHEN sum(dist) > 0 THEN (count(*) - 1) / sum(dist)::DOUBLE * (count(*) - 1) / ((SELECT count(*) FROM nodes) - 1)::DOUBLE ELSE 0 END AS closeness FROM s{DEPTH} GROUP BY 1)"
@@ -144,7 +156,7 @@ def g12(spark, sf):
     "g12_combined_centrality",
     between_sql("SELECT item FROM nodes") + CLOSENESS_SQL + pagerank_sql() + eigen_sql()
     + f""" SELECT item, round(0.30 * degree_centrality + 0.25 * w.betweenness + 0.20 * x + 0.15 * r + 0.10 * closeness, 6) AS score
-    FROM metrics JOIN btw w USING (item) JOIN cl USING (item) JOIN p{ROUNDS} USING (item) JOIN e{ROUNDS} USING (item)""",
+    FROM metrics JOIN btw w USING (item) JOIN cl USING (item) JOIN pr USING (item) JOIN ev USING (item)""",
 )
 def g12_combined(spark, sf):
     edges = cut_lineage(V.edges(spark, sf).select("a", "b", "label", "weight"))
@@ -153,8 +165,8 @@ def g12_combined(spark, sf):
     parts = (
         N.node_metrics(edges, T.betweenness(edges, T.first_sources(edges, None)))
         .join(T.closeness(reached, n), "item")
-        .join(I.pagerank(edges, ROUNDS, tolerance=None), "item")
-        .join(I.eigenvector(edges, ROUNDS, tolerance=None), "item")
+        .join(I.pagerank(edges, tolerance=TOLERANCE), "item")
+        .join(I.eigenvector(edges, tolerance=TOLERANCE), "item")
     )
     score = sum(w * F.col(c) for c, w in N.CENTRALITY_WEIGHTS.items())
     return parts.select("item", F.round(score, 6).alias("score"))
@@ -288,26 +300,21 @@ def g21(spark, sf):
 
 @query(
     "g22_interaction_subgraph",
-    between_sql(FIRST_SQL) + pagerank_sql() + eigen_sql()
-    + f""", v AS (SELECT node AS item, count(*) AS reach, sum(dist)::DOUBLE AS far FROM s{DEPTH} WHERE dist > 0 GROUP BY 1)
-    SELECT item, degree, round(w.betweenness, 6) AS betweenness, round(r, 9) AS pagerank, round(x, 8) AS eigenvector, round(coalesce(reach / far, 0), 6) AS closeness FROM metrics JOIN btw w USING (item) JOIN p{ROUNDS} USING (item) JOIN e{ROUNDS} USING (item) LEFT JOIN v USING (item)""",
+    between_sql(WIDE_SQL) + ", " + check_views.walk_sql("SELECT item FROM nodes", "cw_", counted=False) + CLOSENESS_SQL.replace(f"FROM s{DEPTH}", f"FROM cw_s{DEPTH}") + pagerank_sql() + eigen_sql()
+    + """ SELECT item, degree, round(w.betweenness, 6) AS betweenness, round(r, 9) AS pagerank, round(x, 8) AS eigenvector, round(closeness, 6) AS closeness FROM metrics JOIN btw w USING (item) JOIN pr USING (item) JOIN ev USING (item) JOIN cl USING (item)""",
 )
 def g22(spark, sf):
-    """Centralities side by side; closeness is measured from the stated sources only."""
+    """Five centralities of the interaction part of the property graph, side by side."""
     edges = cut_lineage(N.interaction_subgraph(property_graph(spark, sf)[1]))
-    sources = T.first_sources(edges, SOURCES)
-    near = T.distances(T.walk_levels(cut_lineage(symmetric(edges)), sources)).filter("dist > 0")
-    close = near.groupBy(F.col("node").alias("item")).agg((F.count(F.lit(1)) / F.sum("dist")).alias("closeness"))
-    degree = symmetric(edges).groupBy("item").agg(F.count(F.lit(1)).alias("degree"))
+    reached = all_distances(edges)
+    degree = cut_lineage(symmetric(edges).groupBy("item").agg(F.count(F.lit(1)).alias("degree")))
     return (
-        degree.join(T.betweenness(edges, sources), "item")
-        .join(I.pagerank(edges, ROUNDS, tolerance=None), "item")
-        .join(I.eigenvector(edges, ROUNDS, tolerance=None), "item")
-        .join(close, "item", "left")
+        degree.join(first_betweenness(edges, WIDE_SOURCES), "item")
+        .join(I.pagerank(edges, tolerance=TOLERANCE), "item")
+        .join(I.eigenvector(edges, tolerance=TOLERANCE), "item")
+        .join(T.closeness(reached, degree.count()), "item")
         .select(
             "item", "degree", F.round("betweenness", 6).alias("betweenness"), F.round("pagerank", 9).alias("pagerank"),
-            F.round("eigenvector", 8).alias("eigenvector"), F.round(F.coalesce("closeness", F.lit(0.0)), 6).alias("closeness"),
+            F.round("eigenvector", 8).alias("eigenvector"), F.round("closeness", 6).alias("closeness"),
         )
     )
-
-

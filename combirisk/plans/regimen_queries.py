@@ -75,11 +75,11 @@ def five_part(spark, sf, regs=None):
 
 @query(
     "h2_five_part_risk",
-    PARTS_SQL + " SELECT regimen_id, n, round(ddi_risk, 6) AS ddi_risk, round(effect_risk, 6) AS effect_risk, round(protein_risk, 6) AS protein_risk, round(pathway_risk, 6) AS pathway_risk, round(network_risk, 6) AS network_risk, round(overall, 6) AS overall, risk_level FROM five",
+    PARTS_SQL + " SELECT regimen_id, n, round(ddi_risk, 6) AS ddi_risk, round(effect_risk, 6) AS effect_risk, round(protein_risk, 6) AS protein_risk, round(pathway_risk, 6) AS pathway_risk, round(network_risk, 6) AS network_risk, round(overall, 9) AS overall, risk_level FROM five",
 )
 def h2(spark, sf):
     parts = ["ddi_risk", "effect_risk", "protein_risk", "pathway_risk", "network_risk", "overall"]
-    return five_part(spark, sf).select("regimen_id", "n", *[F.round(c, 6).alias(c) for c in parts], "risk_level")
+    return five_part(spark, sf).select("regimen_id", "n", *[F.round(c, 9 if c == "overall" else 6).alias(c) for c in parts], "risk_level")
 
 
 @query("h2a_interaction_part", PARTS_SQL + " SELECT regimen_id, round(ddi_risk, 6) AS ddi_risk FROM parts")

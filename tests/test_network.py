@@ -12,7 +12,7 @@ def as_dict(df, key, value):
 
 
 def test_metrics(edges):
-    m = {r["item"]: r for r in N.node_metrics(edges).collect()}
+    m = {r["item"]: r for r in N.node_metrics(edges, T.betweenness(edges, T.first_sources(edges))).collect()}
     assert m["c"]["degree"] == 3 and m["c"]["degree_centrality"] == 0.75
     assert m["a"]["weighted_degree"] == 1.0 and m["a"]["severity_profile"] == 0.85
     assert all(0 <= r["pri"] <= 1 for r in m.values())

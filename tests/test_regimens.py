@@ -5,6 +5,7 @@ from combirisk.operators import alternatives as R
 from combirisk.operators import attributes as A
 from combirisk.operators import network as N
 from combirisk.operators import regimen as H
+from combirisk.operators import traversal as T
 from combirisk.operators import resolve as S
 from combirisk.operators.pairs import regimen_edges, shared_attributes
 
@@ -32,7 +33,7 @@ def test_salted_overlap_agrees(spark, regimens):
 
 def test_network_risk(spark, regimens, edges):
     tagged = edges.withColumn("phenotypes", F.array(F.lit("bleeding")))
-    out = {r["regimen_id"]: r for r in H.network_risk(regimens, regimen_edges(regimens, tagged), N.node_metrics(edges)).collect()}
+    out = {r["regimen_id"]: r for r in H.network_risk(regimens, regimen_edges(regimens, tagged), N.node_metrics(edges, T.betweenness(edges, T.first_sources(edges)))).collect()}
     assert out["r1"]["risk_level"] == "CRITICAL" and out["r1"]["interactions"] == 3 and out["r1"]["phenotypes"] == 1
     assert out["r3"]["interactions"] == 0 and out["r3"]["risk_level"] == "LOW"
 
@@ -47,7 +48,7 @@ def test_decomposition_adds_up(spark, regimens, edges):
 
 
 def test_lower_index_range_is_exact(spark, regimens, edges):
-    metrics = N.node_metrics(edges)
+    metrics = N.node_metrics(edges, T.betweenness(edges, T.first_sources(edges)))
     targets = spark.createDataFrame([("r1", "c"), ("r2", "c")], "regimen_id string, target string")
     assert rows_of(R.lower_index_alternatives(targets, regimens, edges, metrics, lead=1)) == rows_of(
         R.lower_index_alternatives(targets, regimens, edges, metrics)
