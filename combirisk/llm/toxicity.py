@@ -191,7 +191,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, max_features: int = 200_000, min_count: int = 2, drift: float = 0.7, significance: float = 1.0, prior_floor: float = 1.0, prior_rate: float = 0.05) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, max_features: int = 120_000, min_count: int = 2, drift: float = 0.7, significance: float = 1.0, prior_floor: float = 1.0, prior_rate: float = 0.05) -> ToxicModel:
     """Model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.  Without labels of both kinds every score is low."""
     context = docs.sparkSession.sparkContext
     sample = labelled_sample(docs, labels, sample_rows)
