@@ -64,15 +64,6 @@ def normal_name(name: str | Column, aliases: dict[str, str] | None = None, suffi
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def short_name(name: str | Column) -> Column:
-    """Older normaliser: one salt suffix, then brackets, are dropped."""
-    c = clean_name(name)
-    # Suffixes of this variant.
-    salts = "hydrochloride|hcl|sodium|potassium|acetate|sulfate|mesylate|maleate|tartrate|fumarate|succinate|besylate|citrate|phosphate"
-    c = F.regexp_replace(c, rf"\s*({salts})\s*$", "")
-    return F.trim(F.regexp_replace(c, r"\s*\([^)]*\)\s*", ""))
-
-
 def name_similarity(one: str | Column, two: str | Column) -> Column:
     """.4 charset Jaccard + .3 length ratio + .3 common prefix (up to 5 characters)."""
     a, b = F.lower(_col(one)), F.lower(_col(two))

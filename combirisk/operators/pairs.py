@@ -131,19 +131,6 @@ def shared_attributes(regimens: DataFrame, attributes: DataFrame, limit: int = S
     )
 
 
-def all_regimen_pairs(regimens: DataFrame, limit: int = SELF_PAIR_LIMIT) -> DataFrame:
-    """Every (regimen_id, a, b) with a < b, long lists salted across tasks."""
-    sized = regimens.select("regimen_id", "item").join(regimen_sizes(regimens), "regimen_id")
-    rows = sized.withColumn("salts", F.ceil(F.col("n") / limit).cast("int"))
-    left = rows.select(
-        "regimen_id", F.col("item").alias("a"), F.pmod(F.xxhash64("item"), F.col("salts")).cast("int").alias("salt")
-    )
-    right = rows.select(
-        "regimen_id", F.col("item").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    )
-    return left.join(right, ["regimen_id", "salt"]).filter(F.col("a") < F.col("b")).select("regimen_id", "a", "b")
-
-
 def validation_pairs(interactions: DataFrame, reference: DataFrame) -> DataFrame:
     """Rows whose pair, in either orientation, has a known reference level.
 
@@ -193,12 +180,13 @@ def match_terms(terms: DataFrame, names: DataFrame) -> DataFrame:
     """(term, name) where the name contains the term, without a theta join.
 
     Every name is cut into its substrings of the lengths that occur among the
-    terms and met by equality, so both sides hash-partition.
+    terms and met by equality, so both sides hash-partition.  Empty terms match
+    nothing.
     """
-    lengths = terms.select(F.length("term").alias("n")).distinct()
-    cuts = names.select("name", F.explode(F.expr("sequence(1, length(name))")).alias("at")).join(
-        F.broadcast(lengths), F.expr("at + n - 1 <= length(name)")
-    )
+    # At most as many lengths as the longest term has characters.
+    lengths = terms.agg(F.collect_set(F.length("term"))).scalar()
+    sized = names.select("name", F.explode(lengths).alias("n")).filter("n between 1 and length(name)")
+    cuts = sized.select("name", "n", F.explode(F.expr("sequence(1, length(name) - n + 1)")).alias("at"))
     pieces = cuts.select("name", F.expr("substring(name, at, n)").alias("term")).distinct()
     return pieces.join(terms, "term")
 
@@ -207,9 +195,3 @@ def neighbours(interactions: DataFrame, items: DataFrame) -> DataFrame:
     """Partners of each wanted item with severity, mechanism and effect columns."""
     pairs = symmetric(interactions.withColumnsRenamed({"drug_name_1": "a", "drug_name_2": "b"}))
     return pairs.join(items.select("item").distinct(), "item", "left_semi").distinct()
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Keep the first row of each key in a stated order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rn_", F.row_number().over(w)).filter("rn_ = 1").drop("rn_")

@@ -341,9 +341,6 @@ def high_risk_rows(rows: DataFrame, confidence: float = 0.7) -> DataFrame:
     return rows.filter((F.col("severity_label") == CONTRAINDICATED) & (F.col("severity_confidence") > confidence))
 
 
-ALL_LABELS = LABELS
-
-
 def rescale_three_to_four(three: DataFrame, four: DataFrame) -> DataFrame:
     """(level, share1, share2): a 3-level distribution stretched by another's severe split.
 

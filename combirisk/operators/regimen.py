@@ -270,7 +270,7 @@ def decompose(
     two = alternatives.select(F.col("item").alias("b"), F.col("n").alias("n2"))
     return (
         rows.withColumn("points", F.round(points, 9))
-        .withColumn("share", F.round(100.0 * F.col("points") / F.sum("points").over(w), 6))
+        .withColumn("share", F.round(100.0 * F.col("points") / F.sum("points").over(w), 8))
         .join(one, "a", "left")
         .join(two, "b", "left")
         .fillna(0, ["n1", "n2"])

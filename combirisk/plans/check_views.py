@@ -181,24 +181,14 @@ regimen_pairs AS (
   JOIN regimens y ON x.regimen_id = y.regimen_id AND x.item < y.item),
 regimen_edges AS (
   SELECT p.regimen_id, e.* FROM regimen_pairs p JOIN tagged_edges e ON p.a = e.a AND p.b = e.b),
-side_effects AS (
-  SELECT item, attr FROM (SELECT item, {sql_list(EFFECTS)}[mon] || ' ' || yr AS attr,
-    row_number() OVER (PARTITION BY item ORDER BY sum(qty) DESC, {sql_list(EFFECTS)}[mon] || ' ' || yr) AS rn
-    FROM lines GROUP BY item, yr, mon) WHERE rn <= 4),
-proteins AS (
-  SELECT item, attr FROM (SELECT item, attr, row_number() OVER (PARTITION BY item ORDER BY sum(qty) DESC, attr) AS rn
-    FROM (SELECT item, 'P' || lpad(CAST(l_suppkey % 50 AS VARCHAR), 2, '0') AS attr, qty FROM lines)
-    GROUP BY item, attr) WHERE rn <= 2),
-diseases AS (
-  SELECT item, attr FROM (SELECT item, attr, row_number() OVER (PARTITION BY item ORDER BY sum(qty) DESC, attr) AS rn
-    FROM (SELECT item, lower(c_mktsegment) || ' ' || c_nationkey AS attr, qty FROM lines
-          JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
-    GROUP BY item, attr) WHERE rn <= 3),
-pathways AS (
-  SELECT item, attr FROM (SELECT item, attr, row_number() OVER (PARTITION BY item ORDER BY sum(qty) DESC, attr) AS rn
-    FROM (SELECT item, 'SMP' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS attr, qty FROM lines
-          JOIN supplier ON l_suppkey = s_suppkey)
-    GROUP BY item, attr) WHERE rn <= 1),
+side_effects AS MATERIALIZED (SELECT DISTINCT item, {sql_list(EFFECTS)}[mon] || ' s' || l_suppkey || ' ' || yr AS attr FROM lines),
+proteins AS MATERIALIZED (SELECT DISTINCT item, 'P' || l_suppkey || '-' || yr AS attr FROM lines),
+diseases AS MATERIALIZED (
+  SELECT DISTINCT item, lower(c_mktsegment) || ' ' || c_custkey AS attr
+  FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+pathways AS MATERIALIZED (
+  SELECT DISTINCT item, 'SMP' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || '-' || yr || lpad(CAST(mon AS VARCHAR), 2, '0') AS attr
+  FROM lines JOIN supplier ON l_suppkey = s_suppkey),
 reports AS (
   SELECT l_orderkey AS report_id, item, {sql_list(EFFECTS)}[mon] AS reaction, rf = 'R' AS serious,
          (rf = 'R' AND o_orderpriority LIKE '1%') AS death

@@ -197,7 +197,7 @@ DECOMPOSE_SQL = SIMILAR_SQL + """, alt AS (SELECT target AS item, least(count(*)
   fe AS (SELECT regimen_id, p.a, p.b, count(*) AS shared_effects FROM regimen_pairs p JOIN side_effects x ON x.item = p.a JOIN side_effects y ON y.item = p.b AND y.attr = x.attr GROUP BY 1, 2, 3),
   fp AS (SELECT regimen_id, p.a, p.b, count(*) AS shared_proteins FROM regimen_pairs p JOIN proteins x ON x.item = p.a JOIN proteins y ON y.item = p.b AND y.attr = x.attr GROUP BY 1, 2, 3),
   dc AS (SELECT regimen_id, a, b, label, coalesce(weight, 0) AS weight, coalesce(shared_effects, 0) AS shared_effects, coalesce(shared_proteins, 0) AS shared_proteins FROM f FULL JOIN fe USING (regimen_id, a, b) FULL JOIN fp USING (regimen_id, a, b)),
-  decomposed AS (SELECT *, round(100.0 * points / sum(points) OVER (PARTITION BY regimen_id), 6) AS share FROM (
+  decomposed AS (SELECT *, round(100.0 * points / sum(points) OVER (PARTITION BY regimen_id), 8) AS share FROM (
     SELECT dc.*, round(0.6 * weight / 10 + 0.25 * least(shared_effects, 50) / 50.0::DOUBLE + 0.15 * least(shared_proteins, 10) / 10.0::DOUBLE, 9) AS points, CASE WHEN coalesce(x.n, 0) >= coalesce(y.n, 0) THEN a ELSE b END AS replace FROM dc LEFT JOIN alt x ON x.item = a LEFT JOIN alt y ON y.item = b))"""
 
 

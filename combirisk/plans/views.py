@@ -2,10 +2,11 @@
 
 Every view is a plain DataFrame over whole tables: items come from parts,
 regimens are orders, an interaction row pairs a line with the line of the same
-number in the customer's next order, attributes are each item's leading ship
-months, supplier groups, customer segments and supplier nations.  Regimens do not
+number in the customer's next order, attributes are the months,
+suppliers, customers and nations of an item's lines.  Regimens do not
 make the interactions of their own items.  The pairing is an equi-join on (order,
 line number): its output is linear in the lines, however large one order gets.
+Attributes are fine enough to stay sparse by themselves; none is left out.
 
 Views that many queries read are written once per session and table folder into
 the shared folder and read from there; ``forget`` drops them.
@@ -265,58 +266,38 @@ def regimens(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _leading(totals: DataFrame, value: str, k: int) -> DataFrame:
-    order = Window.partitionBy("item").orderBy(F.desc("total"), F.asc(value))
-    return (
-        totals.withColumn("rank_", F.row_number().over(order))
-        .filter(F.col("rank_") <= k)
-        .select("item", F.col(value).alias("attr"))
-    )
+def _attributes(rows: DataFrame, attr) -> DataFrame:
+    return rows.select("item", attr.alias("attr")).distinct()
 
 
+@written
 def side_effects(spark: SparkSession, sf: str) -> DataFrame:
-    """(item, attr): the four months with the largest shipped quantity."""
-    effect = F.concat_ws(" ", F.element_at(words(EFFECTS), F.col("mon")), F.col("yr").cast("string"))
-    totals = (
-        lines(spark, sf).groupBy("item", "yr", "mon").agg(F.sum("qty").alias("total"))
-        .select("item", effect.alias("effect"), "total")
-    )
-    return _leading(totals, "effect", 4)
+    """(item, attr): the month's effect by supplier and year of every line."""
+    supplier = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    return _attributes(lines(spark, sf), F.concat_ws(" ", F.element_at(words(EFFECTS), F.col("mon")), supplier, F.col("yr").cast("string")))
 
 
+@written
 def proteins(spark: SparkSession, sf: str) -> DataFrame:
-    group = F.concat(F.lit("P"), F.lpad((F.col("l_suppkey") % 50).cast("string"), 2, "0"))
-    totals = lines(spark, sf).groupBy("item", group.alias("protein")).agg(F.sum("qty").alias("total"))
-    return _leading(totals, "protein", 2)
+    """(item, attr): supplier and year of every line."""
+    return _attributes(lines(spark, sf), F.concat(F.lit("P"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("yr").cast("string")))
 
 
+@written
 def diseases(spark: SparkSession, sf: str) -> DataFrame:
+    """(item, attr): market segment and number of every customer."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    customers = table(spark, sf, "customer").select(
-        "c_custkey",
-        F.concat_ws(" ", F.lower("c_mktsegment"), F.col("c_nationkey").cast("string")).alias("disease"),
-    )
-    totals = (
-        lines(spark, sf)
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("item", "disease")
-        .agg(F.sum("qty").alias("total"))
-    )
-    return _leading(totals, "disease", 3)
+    customers = table(spark, sf, "customer").select("c_custkey", F.concat_ws(" ", F.lower("c_mktsegment"), F.col("c_custkey").cast("string")).alias("disease"))
+    bought = lines(spark, sf).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return _attributes(bought, F.col("disease"))
 
 
+@written
 def pathways(spark: SparkSession, sf: str) -> DataFrame:
-    suppliers = table(spark, sf, "supplier").select(
-        "s_suppkey", F.concat(F.lit("SMP"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")).alias("pathway")
-    )
-    totals = (
-        lines(spark, sf)
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("item", "pathway")
-        .agg(F.sum("qty").alias("total"))
-    )
-    return _leading(totals, "pathway", 1)
+    """(item, attr): the supplier's nation and the month of every line."""
+    suppliers = table(spark, sf, "supplier").select("s_suppkey", F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("nation"))
+    made = lines(spark, sf).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    return _attributes(made, F.concat(F.lit("SMP"), F.col("nation"), F.lit("-"), F.col("yr").cast("string"), F.lpad(F.col("mon").cast("string"), 2, "0")))
 
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:

@@ -23,17 +23,24 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "combi
     )
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read, as the session names it.
 
-    ``spark.checkpoint.dir`` is the cluster's choice.  Only when it is unset
-    (a bare test session) a temporary folder of this machine is used.
+    ``spark.checkpoint.dir`` is the cluster's choice.  A session on one machine
+    (local master) may leave it unset and gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="combirisk-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="combirisk-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def work_path(spark: SparkSession, label: str) -> str:
