@@ -40,6 +40,8 @@ BUCKETS = 512
 EDGE = 0
 WIDTH = 32
 BATCH = 2048
+# Tokens scored together.
+SCORED = 1 << 16
 COUNTED_WORDS = 1 << 17
 # Models that one task sums up at a level of the tree.
 FAN_IN = 32
@@ -102,18 +104,17 @@ class Network:
     def log_probabilities(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Conditional log-probability of the symbols at ``at``; the array has edge symbols around every text."""
         out = np.empty(len(at), np.float64)
-        for start in range(0, len(at), 8 * BATCH):
-            part = at[start : start + 8 * BATCH]
+        for start in range(0, len(at), SCORED):
+            part = at[start : start + SCORED]
             group, member = np.divmod(symbols[part], MEMBERS)
             order = np.argsort(group, kind="stable")
             h = self.hidden(symbols, part[order])
             group, member = group[order], member[order]
-            result = _log_softmax(h @ self.groups + self.group_bias)[np.arange(len(part)), group]
+            result = _log_chosen(h @ self.groups + self.group_bias, group)
             bounds = np.searchsorted(group, np.arange(GROUPS + 1))
             for g in np.flatnonzero(np.diff(bounds)):
                 rows = slice(bounds[g], bounds[g + 1])
-                inner = _log_softmax(h[rows] @ self.members[g] + self.member_bias[g])
-                result[rows] += inner[np.arange(len(inner)), member[rows]]
+                result[rows] += _log_chosen(h[rows] @ self.members[g] + self.member_bias[g], member[rows])
             out[start + order] = result
         return out
 
@@ -123,6 +124,14 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
+def _log_chosen(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log-softmax of one column a row; works in place and writes no other column."""
+    logits -= logits.max(axis=1, keepdims=True)
+    picked = logits[np.arange(len(logits)), chosen]
+    np.exp(logits, out=logits)
+    return picked - np.log(logits.sum(axis=1))
+
+
 class Trainer:
     """Adagrad on a copy of a network; embeddings have one step size a row."""
 
