@@ -41,7 +41,7 @@ EDGE = 0
 WIDTH = 32
 BATCH = 2048
 # Tokens scored together.
-SCORED = 1 << 16
+SCORED = 1 << 15
 COUNTED_WORDS = 1 << 17
 # Models that one task sums up at a level of the tree.
 FAN_IN = 32
