@@ -182,13 +182,11 @@ regimen_pairs AS (
 regimen_edges AS (
   SELECT p.regimen_id, e.* FROM regimen_pairs p JOIN tagged_edges e ON p.a = e.a AND p.b = e.b),
 side_effects AS MATERIALIZED (SELECT DISTINCT item, {sql_list(EFFECTS)}[mon] || ' s' || l_suppkey || ' ' || yr AS attr FROM lines),
-proteins AS MATERIALIZED (SELECT DISTINCT item, 'P' || l_suppkey || '-' || yr AS attr FROM lines),
+proteins AS MATERIALIZED (SELECT DISTINCT item, 'P' || l_suppkey || '-' || qty AS attr FROM lines),
 diseases AS MATERIALIZED (
   SELECT DISTINCT item, lower(c_mktsegment) || ' ' || c_custkey AS attr
   FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
-pathways AS MATERIALIZED (
-  SELECT DISTINCT item, 'SMP' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || '-' || yr || lpad(CAST(mon AS VARCHAR), 2, '0') AS attr
-  FROM lines JOIN supplier ON l_suppkey = s_suppkey),
+pathways AS MATERIALIZED (SELECT DISTINCT item, 'SMP' || l_suppkey || '-' || yr || lpad(CAST(mon AS VARCHAR), 2, '0') AS attr FROM lines),
 reports AS (
   SELECT l_orderkey AS report_id, item, {sql_list(EFFECTS)}[mon] AS reaction, rf = 'R' AS serious,
          (rf = 'R' AND o_orderpriority LIKE '1%') AS death

@@ -3,7 +3,7 @@
 Every view is a plain DataFrame over whole tables: items come from parts,
 regimens are orders, an interaction row pairs a line with the line of the same
 number in the customer's next order, attributes are the months,
-suppliers, customers and nations of an item's lines.  Regimens do not
+suppliers, quantities and customers of an item's lines.  Regimens do not
 make the interactions of their own items.  The pairing is an equi-join on (order,
 line number): its output is linear in the lines, however large one order gets.
 Attributes are fine enough to stay sparse by themselves; none is left out.
@@ -279,8 +279,8 @@ def side_effects(spark: SparkSession, sf: str) -> DataFrame:
 
 @written
 def proteins(spark: SparkSession, sf: str) -> DataFrame:
-    """(item, attr): supplier and year of every line."""
-    return _attributes(lines(spark, sf), F.concat(F.lit("P"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("yr").cast("string")))
+    """(item, attr): supplier and quantity of every line."""
+    return _attributes(lines(spark, sf), F.concat(F.lit("P"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("qty").cast("string")))
 
 
 @written
@@ -294,10 +294,9 @@ def diseases(spark: SparkSession, sf: str) -> DataFrame:
 
 @written
 def pathways(spark: SparkSession, sf: str) -> DataFrame:
-    """(item, attr): the supplier's nation and the month of every line."""
-    suppliers = table(spark, sf, "supplier").select("s_suppkey", F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("nation"))
-    made = lines(spark, sf).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    return _attributes(made, F.concat(F.lit("SMP"), F.col("nation"), F.lit("-"), F.col("yr").cast("string"), F.lpad(F.col("mon").cast("string"), 2, "0")))
+    """(item, attr): supplier and month of every line."""
+    month = F.concat(F.col("yr").cast("string"), F.lpad(F.col("mon").cast("string"), 2, "0"))
+    return _attributes(lines(spark, sf), F.concat(F.lit("SMP"), F.col("l_suppkey").cast("string"), F.lit("-"), month))
 
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:
