@@ -5,8 +5,8 @@ pieces.  Equal windows have equal anchors.  Neighbouring windows with one anchor
 make a segment (their bytes, at most 2 * SPAN - GRAM), so a text falls into few
 segments, and windows can only be equal inside the segments of one anchor.
 
-Counting.  Segments are counted by (anchor, segment hash).  A segment that occurs
-twice has only repeated windows.  Where an anchor has several different segments,
+Counting.  Segments are counted by anchor and the 128-bit digest of all their bytes.
+A segment that occurs twice has only repeated windows.  Where an anchor has several different segments,
 or recurs inside one, a copy of each goes to a shard: windows of different segments,
 or overlapping ones of periodic text, may be equal, too.
 
@@ -14,12 +14,13 @@ Shards.  A shard holds whole anchors up to a bound of segments; an anchor above
 is dealt over several shards.  In a shard, the suffix array comes from
 Larsson-Sadakane refinement and common prefixes from Kasai's scan; window starts
 whose neighbour in the array shares SPAN bytes are repeated.  For dealt anchors, the
-distinct windows of each shard are then merged: sorted by hash into ranges, each
-looked up in its range by binary search.
+distinct windows of each shard are then merged: dealt by digest into ranges and
+compared with their neighbours in the sorted range.
 
 Nothing quadratic: copies only raise counts, and every segment is in one shard.
 Texts are worked off in pieces that overlap by SPAN, so their length is not bounded.
-Segments and windows are compared by 64-bit hashes within one 64-bit anchor.
+The anchor's hash only brings windows together.  Bytes are removed on equal bytes in
+a shard, and elsewhere on equal BLAKE2b digests of 128 bits over every byte.
 """
 
 from __future__ import annotations
@@ -44,18 +45,34 @@ STARTS = SPAN - GRAM + 1
 PIECE = 1 << 20
 SHARD_SEGMENTS = 4096
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-_SEGMENT = "anchor long, segment long, doc_id long, key long, start int, starts int, recurs boolean"
+# Both halves of a segment's digest.
+_DIGEST = ["segment", "segment2"]
+_SEGMENT = "anchor long, segment long, segment2 long, doc_id long, key long, start int, starts int, recurs boolean"
 
 
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64-bit hash of two neighbouring pieces."""
-    z = a * _A
-    z ^= b * _B
-    z ^= z >> np.uint64(32)
+def _avalanched(a: np.ndarray, factor: np.uint64) -> np.ndarray:
+    """One-to-one; every bit of ``a`` reaches every bit."""
+    z = a ^ (a >> np.uint64(32))
+    z *= factor
+    z ^= z >> np.uint64(29)
     z *= _C
+    z ^= z >> np.uint64(32)
+    return z
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of two neighbouring pieces, each mixed apart before they meet."""
+    z = _avalanched(a, _A)
+    z += _avalanched(b, _B)
     return z
 
 
+def _digests(data: bytes | memoryview, starts: list[int], stops: list[int]) -> np.ndarray:
+    """128-bit digest of each slice, as two numbers a row."""
+    digest = hashlib.blake2b
+    return np.frombuffer(b"".join([digest(data[a:b], digest_size=16).digest() for a, b in zip(starts, stops)]), "<i8").reshape(-1, 2)
+
+
 def _words(data: np.ndarray, order: str = "<u8") -> np.ndarray:
     """The eight bytes from every offset on, as one number."""
     return np.ndarray((len(data) - 7,), order, data, strides=(1,)).astype(np.uint64)
@@ -72,19 +89,17 @@ def _lowest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Segments of concatenated texts that end at ``ends``: anchor, segment hash, first start, number of starts, text number, whether its anchor may recur inside."""
+    """Segments of concatenated texts that end at ``ends``: anchor, first start, number of starts, text number, whether its anchor may recur inside."""
     n = len(data)
     begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     long = ends - begins >= SPAN
     if not long.any():
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, bool))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, bool))
     with np.errstate(over="ignore"):
         h8 = _words(data)
         h16 = _mixed(h8[:-8], h8[8:])
         h32 = _mixed(h16[:-16], h16[16:])
         anchors = _lowest(h32, STARTS)
-        h64 = _mixed(h32[:-32], h32[32:])
-        h128 = _mixed(h64[:-64], h64[64:])
         m = len(anchors)
         edges = np.zeros(n + 1, np.int32)
         np.add.at(edges, begins[long], 1)
@@ -103,18 +118,13 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         start = first[run] + number * STARTS
         stop = np.minimum(start + STARTS, last[run])
 
-        def window(x: np.ndarray) -> np.ndarray:
-            return _mixed(_mixed(h128[x], h64[x + 128]), h8[x + 192])
-
-        # The first and the last window overlap, so they and their distance fix the segment.
-        segment = _mixed(window(start), window(stop - 1) + (stop - start).astype(np.uint64))
         # Windows that overlap in one segment can be equal only where its anchor recurs.  Between two occurrences
         # that one window could hold lies no other anchor, so they are neighbours among the anchors' places.
         gap = np.zeros(STARTS - 1, np.uint64)
         places = np.flatnonzero(~_lowest(~np.concatenate([gap, anchors, gap]), STARTS) == h32)
         again = np.flatnonzero((h32[places[1:]] == h32[places[:-1]]) & (np.diff(places) < STARTS))
         inside = np.searchsorted(places[again + 1], stop + STARTS - 1) > np.searchsorted(places[again], start)
-        return anchors[start], segment, start, stop - start, np.searchsorted(ends, start, side="right"), inside
+        return anchors[start], start, stop - start, np.searchsorted(ends, start, side="right"), inside
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -139,13 +149,14 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in blocks(batches, "text"):
         ids, keys = batch.column("doc_id"), batch.column("key")
         for data, ends, owners, offsets in _pieces(utf8(batch.column("text"))):
-            anchor, segment, start, starts, part, inside = segments(np.frombuffer(data, np.uint8), ends)
+            anchor, start, starts, part, inside = segments(np.frombuffer(data, np.uint8), ends)
+            segment = _digests(memoryview(data), start.tolist(), (start + starts + (SPAN - 1)).tolist())
             begins = np.concatenate([[0], ends[:-1]])
             at = (start - begins[part] + offsets[part]).astype(np.int32)
             owner = pa.array(owners[part])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64)), pc.take(ids, owner), pc.take(keys, owner), pa.array(at), pa.array(starts.astype(np.int32)), pa.array(inside)],
-                ["anchor", "segment", "doc_id", "key", "start", "starts", "recurs"],
+                [pa.array(anchor.view(np.int64)), pa.array(segment[:, 0]), pa.array(segment[:, 1]), pc.take(ids, owner), pc.take(keys, owner), pa.array(at), pa.array(starts.astype(np.int32)), pa.array(inside)],
+                ["anchor", *_DIGEST, "doc_id", "key", "start", "starts", "recurs"],
             )
 
 
@@ -186,14 +197,6 @@ def repeated_starts(parts: list[bytes], starts: np.ndarray) -> tuple[np.ndarray,
     return np.sort(suffixes[again]), np.flatnonzero(owned)
 
 
-def _window_hashes(text: bytes, at: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h16 = (lambda h: _mixed(h[:-8], h[8:]))(_words(np.frombuffer(text, np.uint8)))
-        h32 = _mixed(h16[:-16], h16[16:])
-        h64 = _mixed(h32[:-32], h32[32:])
-        return _mixed(_mixed(_mixed(h64[at], h64[at + 64]), h64[at + 128]), h16[at + SPAN - 16])
-
-
 def _runs(positions: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of runs of neighbouring positions inside one part."""
     fresh = np.ones(len(positions), bool)
@@ -209,29 +212,34 @@ def _shard_rows(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     again, owned = repeated_starts(parts, np.array([r["starts"] for r in rows], np.int64))
     doc_id = pa.array([r["doc_id"] for r in rows], pa.int64())
     key = pa.array([r["key"] for r in rows], pa.int64())
-    anchor = pa.array([r["anchor"] for r in rows], pa.int64())
     offset = np.array([r["start"] for r in rows], np.int64) - begins
 
-    def out(part: np.ndarray, start: np.ndarray, stop: np.ndarray, of: pa.Array | None, window: pa.Array | None) -> pa.RecordBatch:
+    def out(part: np.ndarray, start: np.ndarray, stop: np.ndarray, window: np.ndarray | None) -> pa.RecordBatch:
         index, n = pa.array(part), len(part)
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pc.take(doc_id, index), pc.take(key, index), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pc.take(of, index) if of is not None else none, window if window is not None else none], ["doc_id", "key", "start", "stop", "anchor", "window"])
+        halves = [pa.nulls(n, pa.int64())] * 2 if window is None else [pa.array(window[:, 0]), pa.array(window[:, 1])]
+        return pa.RecordBatch.from_arrays([pc.take(doc_id, index), pc.take(key, index), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), *halves], ["doc_id", "key", "start", "stop", "window", "window2"])
 
     part = np.searchsorted(begins, again, side="right") - 1
     first, last = _runs(again, part)
-    yield out(part[first], again[first] + offset[part[first]], again[last] + offset[part[first]] + SPAN, None, None)
+    yield out(part[first], again[first] + offset[part[first]], again[last] + offset[part[first]] + SPAN, None)
     dealt = np.array([r["shard"] >= 0 for r in rows])
     part = np.searchsorted(begins, owned, side="right") - 1
     owned, part = owned[dealt[part]], part[dealt[part]]
     if len(owned):
-        hashes = _window_hashes(b"".join(parts), owned)
         # One row for each distinct window of an anchor in this shard.
-        anchors = np.array([r["anchor"] for r in rows], np.int64)[part].view(np.uint64)
-        with np.errstate(over="ignore"):
-            hashes, one = np.unique(_mixed(hashes, anchors), return_index=True)
-        owned, part = owned[one], part[one]
-        at = owned + offset[part]
-        yield out(part, at, at + SPAN, anchor, pa.array(hashes.view(np.int64)))
+        digests = _digests(memoryview(b"".join(parts)), owned.tolist(), (owned + SPAN).tolist())
+        order, same = _sorted_digests(digests[:, 0], digests[:, 1])
+        one = order[~same]
+        at = owned[one] + offset[part[one]]
+        yield out(part[one], at, at + SPAN, digests[one])
+
+
+def _sorted_digests(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the digests and, for each place in it, whether the one before is equal."""
+    order = np.lexsort((low, high))
+    same = np.zeros(len(order), bool)
+    same[1:] = (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]])
+    return order, same
 
 
 def _shard_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,15 +259,15 @@ def _shard_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of dealt anchors that stand in more than one shard, found by binary search in the sorted hashes."""
+    """Windows of dealt anchors that stand in more than one shard, found among the sorted digests."""
     got = list(batches)
     if not got:
         return
     rows = pa.Table.from_batches(got)
-    hashes = rows.column("window").to_numpy()
-    ordered = np.sort(hashes)
-    count = np.searchsorted(ordered, hashes, side="right") - np.searchsorted(ordered, hashes, side="left")
-    yield from rows.filter(pa.array(count > 1)).select(["doc_id", "key", "start", "stop"]).combine_chunks().to_batches()
+    order, same = _sorted_digests(rows.column("window").to_numpy(), rows.column("window2").to_numpy())
+    again = same.copy()
+    again[:-1] |= same[1:]
+    yield from rows.take(pa.array(order[again])).select(["doc_id", "key", "start", "stop"]).combine_chunks().to_batches()
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -267,12 +275,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", "key", "text").mapInArrow(_segment_batches, _SEGMENT)
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("total"), F.max("recurs").alias("any")).where("total > 1 or any").select("anchor")
     common = stored(found.join(often, "anchor"), "common-segments")
-    each = common.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"))
+    each = common.groupBy("anchor", *_DIGEST).agg(F.count(F.lit(1)).alias("n"))
     kinds = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    known = stored(common.join(each.join(kinds, "anchor"), ["anchor", "segment"]), "counted-segments")
+    known = stored(common.join(each.join(kinds, "anchor"), ["anchor", *_DIGEST]), "counted-segments")
     twice = known.where("n > 1").select("doc_id", "key", "start", (F.col("start") + F.col("starts") + (SPAN - 1)).alias("stop"))
 
-    copies = known.where("kinds > 1 or recurs").groupBy("anchor", "segment").agg(*[F.first(c).alias(c) for c in ("n", "kinds", "doc_id", "key", "start", "starts")])
+    copies = known.where("kinds > 1 or recurs").groupBy("anchor", *_DIGEST).agg(*[F.first(c).alias(c) for c in ("n", "kinds", "doc_id", "key", "start", "starts")])
     shards = F.ceil(F.col("kinds") / SHARD_SEGMENTS)
     shard = F.when(shards > 1, F.pmod("segment", shards)).otherwise(F.lit(-1)).cast("int")
     wanted = copies.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "segment", "n", shard.alias("shard"), "start", "starts")).alias("wanted"))
@@ -281,7 +289,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     cut = texts.mapInArrow(_cut_batches, "anchor long, segment long, n long, shard int, doc_id long, key long, start int, starts int, bytes binary")
     dealt = cut.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
     spans = "doc_id long, key long, start int, stop int"
-    local = stored(dealt.mapInArrow(_shard_batches, spans + ", anchor long, window long"), "shard-spans")
+    local = stored(dealt.mapInArrow(_shard_batches, spans + ", window long, window2 long"), "shard-spans")
     merged = local.where("window is not null").repartition("window").mapInArrow(_merge_batches, spans)
     return twice.union(local.where("window is null").select("doc_id", "key", "start", "stop")).union(merged)
 
