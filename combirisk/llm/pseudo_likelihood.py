@@ -8,8 +8,9 @@ of a text is the sum of the log-probabilities of all of its tokens.
 Vocabulary: the most frequent words of all documents, and hash buckets for the rest.
 Their counts set the biases, so training starts from the unigram model.
 
-Training: every document takes part.  In round r, every token whose place falls to r in
-a hash is masked and predicted; ``rounds`` of ``parts`` parts are used.  Each task trains
+Training: every token of every document is masked and predicted once.  The tokens are
+dealt into ``parts`` by a hash of doc_id and position; round r predicts part r, with all
+others as context.  Each task trains
 a copy of the network on its documents; the copies, weighted by their tokens, are
 averaged by rounds of group sums over a tree, and the mean starts the next round.
 """
@@ -210,6 +211,15 @@ class Coder:
         return np.array(out, np.int64), at, counts
 
 
+def part_of(ids: np.ndarray, counts: np.ndarray, parts: int) -> np.ndarray:
+    """Part of every token, from its text's id and its position there, so batches and partitions do not matter."""
+    position = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    with np.errstate(over="ignore"):
+        z = np.repeat(ids, counts).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + position.astype(np.uint64)
+        z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((z ^ (z >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all documents."""
 
@@ -249,15 +259,14 @@ def train_round(docs: DataFrame, network: Network, coder: Coder, part: int, part
         network, coder = shared.value
         trainer = Trainer(network)
         for block in blocks(batches, "text"):
-            symbols, at, _ = coder.texts(block.column("text").to_pylist())
-            # The place and its neighbours decide, so the choice does not hang on partitions.
-            draw = (symbols[at - 1] * 31 + symbols[at] * 17 + symbols[at + 1] * 7 + at) % parts
-            trainer.train(symbols, at[draw == part])
+            symbols, at, counts = coder.texts(block.column("text").to_pylist())
+            ids = block.column("doc_id").fill_null(-1).to_numpy()
+            trainer.train(symbols, at[part_of(ids, counts, parts) == part])
         if trainer.tokens:
             weights = trainer.net.flat() * np.float32(trainer.tokens)
             yield pa.RecordBatch.from_pydict({"branch": [TaskContext.get().partitionId()], "tokens": [trainer.tokens], "weights": [weights.tobytes()]}, schema=pa.schema([("branch", pa.int64()), ("tokens", pa.int64()), ("weights", pa.binary())]))
 
-    models = stored(docs.select("text").mapInArrow(train, _MODEL), "networks")
+    models = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(train, _MODEL), "networks")
     while (last := models.agg(F.max("branch")).first()[0] or 0) > 0:
         grouped = models.withColumn("branch", F.floor(F.col("branch") / FAN_IN))
         models = stored(grouped.repartition(last // FAN_IN + 1, "branch").mapInArrow(_summed, _MODEL), "networks")
@@ -266,8 +275,8 @@ def train_round(docs: DataFrame, network: Network, coder: Coder, part: int, part
     return network if found is None else network.from_flat(np.frombuffer(found["weights"], np.float32).astype(np.float64) / found["tokens"])
 
 
-def fit(docs: DataFrame, rounds: int = 2, parts: int = 32) -> tuple[Network, Coder]:
-    """Network and vocabulary from all rows of ``docs(text)``; without words the network stays at its start."""
+def fit(docs: DataFrame, rounds: int = 2, parts: int = 2) -> tuple[Network, Coder]:
+    """Network and vocabulary from all rows of ``docs(doc_id, text)``; without words the network stays at its start."""
     counts = stored(word_counts(docs), "word-counts")
     known_words = SYMBOLS - BUCKETS - 1
     top = counts.orderBy(F.desc("n"), "word").limit(known_words).collect()

@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -99,4 +100,13 @@ def test_awkward_rows(spark):
     assert rows(L.score(empty_docs(spark), L.fit(empty_docs(spark)))) == []
 
 
+def test_every_token_is_trained_on_once_whatever_the_batches():
+    defaults = {n: p.default for n, p in inspect.signature(L.fit).parameters.items()}
+    assert defaults["rounds"] == defaults["parts"]
+    ids, counts = np.array([5, -1, 12, 7]), np.array([400, 0, 3, 250])
+    whole = L.part_of(ids, counts, defaults["parts"])
+    assert set(whole.tolist()) == set(range(defaults["parts"])) and len(whole) == 653
+    assert L.part_of(ids[2:], counts[2:], defaults["parts"]).tolist() == whole[400:].tolist()
+
+
 from helpers import WORDS  # noqa: E402
