@@ -5,8 +5,12 @@ four places has its own embeddings; their sum goes through tanh, and a softmax o
 groups of the vocabulary, then one inside the group, gives the probability.  The score
 of a text is the sum of the log-probabilities of all of its tokens.
 
-Vocabulary: the most frequent words of all documents, and hash buckets for the rest.
-Their counts set the biases, so training starts from the unigram model.
+Vocabulary: every word of all documents.  The most frequent have a symbol of the
+network; the others share hash buckets, and a word's probability is its bucket's times
+its share n / (N + 1) of the N tokens counted there, where the 1 is all unseen words.
+The shares of words counted twice and more are joined to the texts' words, so the table
+may grow with the input.  Symbol and bucket counts set the biases, so training starts
+from the unigram model.
 
 Training: every token of every document is masked and predicted once.  The tokens are
 dealt into ``parts`` by a hash of doc_id and position; round r predicts part r, with all
@@ -38,6 +42,7 @@ GROUPS = 64
 MEMBERS = 64
 SYMBOLS = GROUPS * MEMBERS
 BUCKETS = 512
+FIRST_BUCKET = SYMBOLS - BUCKETS
 EDGE = 0
 WIDTH = 32
 BATCH = 2048
@@ -183,28 +188,33 @@ class Trainer:
 class Coder:
     """Words to symbols: known words by frequency, others by a hash into buckets, with a bounded cache."""
 
-    def __init__(self, known: dict[str, int]) -> None:
+    def __init__(self, known: dict[str, int], floors: np.ndarray) -> None:
         self.known = known
+        # Log share of a word that was counted once or never, for every bucket.
+        self.floors = floors
         self.cache: dict[str, int] = {}
 
     def symbol(self, word: str) -> int:
         found = self.known.get(word)
         if found is None:
-            found = SYMBOLS - BUCKETS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+            found = FIRST_BUCKET + zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
         self.cache[word] = found
         return found
 
-    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of all texts with edges between, places of their tokens, and each text's number of tokens."""
+    def texts(self, texts: list[str | None], rare: list[Counter] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all texts with edges between, places of their tokens, and each text's number of tokens; ``rare`` gets its words without a symbol of their own."""
         known, symbol = self.cache.get, self.symbol
         out: list[int] = [EDGE] * REACH
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             tokens = words(text)
             counts[i] = len(tokens)
-            out += [s if (s := known(w)) is not None else symbol(w) for w in tokens]
+            codes = [s if (s := known(w)) is not None else symbol(w) for w in tokens]
+            if rare is not None:
+                rare.append(Counter([w for w, s in zip(tokens, codes) if s >= FIRST_BUCKET]))
+            out += codes
             out += [EDGE] * REACH
         first = REACH + np.cumsum(counts + REACH) - counts - REACH
         at = np.arange(int(counts.sum())) + np.repeat(first - (np.cumsum(counts) - counts), counts)
@@ -275,40 +285,58 @@ def train_round(docs: DataFrame, network: Network, coder: Coder, part: int, part
     return network if found is None else network.from_flat(np.frombuffer(found["weights"], np.float32).astype(np.float64) / found["tokens"])
 
 
-def fit(docs: DataFrame, rounds: int = 2, parts: int = 2) -> tuple[Network, Coder]:
-    """Network and vocabulary from all rows of ``docs(doc_id, text)``; without words the network stays at its start."""
+def fit(docs: DataFrame, rounds: int = 2, parts: int = 2) -> tuple[Network, Coder, DataFrame]:
+    """Network, its vocabulary and the (word, log_n) of the other words counted twice and more, from all rows of ``docs(doc_id, text)``; without words the network stays at its start."""
     counts = stored(word_counts(docs), "word-counts")
-    known_words = SYMBOLS - BUCKETS - 1
+    known_words = FIRST_BUCKET - 1
     top = counts.orderBy(F.desc("n"), "word").limit(known_words).collect()
-    coder = Coder({r["word"]: i + 1 for i, r in enumerate(top)})
+    known = {r["word"]: i + 1 for i, r in enumerate(top)}
     symbol_counts = np.zeros(SYMBOLS)
     symbol_counts[1 : len(top) + 1] = [r["n"] for r in top]
-    rest = (counts.agg(F.sum("n")).first()[0] or 0) - symbol_counts.sum()
-    symbol_counts[SYMBOLS - BUCKETS :] = rest / BUCKETS
+    # At most ``known_words`` words are broadcast.
+    rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in known], "word string")), "word", "left_anti")
+    for r in rest.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        symbol_counts[FIRST_BUCKET + r["bucket"]] = r["n"]
+    coder = Coder(known, -np.log(symbol_counts[FIRST_BUCKET:] + 1))
     network = Network.start(symbol_counts)
     for part in range(rounds):
         network = train_round(docs, network, coder, part, parts)
-    return network, coder
+    return network, coder, rest.where("n > 1").select("word", F.log(F.col("n").cast("double")).alias("log_n"))
 
 
-def score(docs: DataFrame, model: tuple[Network, Coder]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[Network, Coder, DataFrame]) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, per_token) for every row of ``docs(doc_id, text)``.
 
     Texts without words have sum 0 and a null mean; null ids and repeated rows stay;
     further columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model[:2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, coder = shared.value
+        row = TaskContext.get().partitionId() << 33
         for block in blocks(batches, "text"):
-            symbols, at, counts = coder.texts(block.column("text").to_pylist())
+            rare: list[Counter] = []
+            symbols, at, counts = coder.texts(block.column("text").to_pylist(), rare)
             logs = network.log_probabilities(symbols, at)
+            chosen = symbols[at]
+            inside = chosen >= FIRST_BUCKET
+            logs[inside] += coder.floors[chosen[inside] - FIRST_BUCKET]
             sums = np.bincount(np.repeat(np.arange(len(counts)), counts), logs, len(counts)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(counts), pa.array(sums)], ["doc_id", "n_tokens", "log_likelihood"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
-    return rows.withColumn("per_token", F.try_divide("log_likelihood", "n_tokens"))
+            ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            words_ = pa.array([w for found in rare for w in found], pa.string())
+            times = pa.array([n for found in rare for n in found.values()], pa.int32())
+            lists = [pa.ListArray.from_arrays(pa.array(ends), v) for v in (words_, times)]
+            ids = pa.array(row + np.arange(len(counts)))
+            row += len(counts)
+            yield pa.RecordBatch.from_arrays([ids, block.column("doc_id"), pa.array(counts), pa.array(sums), *lists], ["row", "doc_id", "n_tokens", "sum", "words", "times"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, n_tokens long, sum double, words array<string>, times array<int>")
+    rows = stored(rows, "scored-rows")
+    rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("r")).select("row", F.col("r.words").alias("word"), F.col("r.times").alias("times"))
+    more = rare.join(model[2], "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("more"))
+    whole = rows.drop("words", "times").join(more, "row", "left").select("doc_id", "n_tokens", (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
+    return whole.withColumn("per_token", F.try_divide("log_likelihood", "n_tokens"))
 
 
 def op9_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import inspect
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -109,4 +111,23 @@ def test_every_token_is_trained_on_once_whatever_the_batches():
     assert L.part_of(ids[2:], counts[2:], defaults["parts"]).tolist() == whole[400:].tolist()
 
 
+def test_words_of_one_bucket_have_their_own_probabilities(spark):
+    draw = random.Random(9)
+    bucket = lambda w: zlib.crc32(w.encode()) % L.BUCKETS
+    rare = [f"rare{i}" for i in range(3000)]
+    one = next(w for w in rare[1:] if bucket(w) == bucket(rare[0]))
+    unseen = next(w for i in range(10_000) if bucket(w := f"new{i}") == bucket(rare[0]))
+    counts = {w: 1 for w in rare} | {rare[0]: 5} | {f"often{i}": 9 for i in range(L.FIRST_BUCKET - 1)}
+    tokens_ = [w for w, n in counts.items() for _ in range(n)]
+    draw.shuffle(tokens_)
+    docs = spark.createDataFrame([(i, " ".join(tokens_[i::200])) for i in range(200)], "doc_id long, text string")
+    single = [*counts, unseen, *(f"{one} {w}" for w in (rare[0], one))]
+    got = dict(rows(L.score(spark.createDataFrame(list(enumerate(single)), "doc_id long, text string"), L.fit(docs)).select("doc_id", "log_likelihood")))
+    of = {w: got[i] for i, w in enumerate(single)}
+    assert abs(of[rare[0]] - of[one] - math.log(5)) < 1e-6 and abs(of[unseen] - of[one]) < 1e-6
+    assert abs(of[f"{one} {rare[0]}"] - of[f"{one} {one}"] - math.log(5)) < 1e-6
+    # The counted words have all of the probability but the shares of unseen words.
+    assert 0.8 < sum(math.exp(of[w]) for w in counts) < 1
+
+
 from helpers import WORDS  # noqa: E402
