@@ -7,10 +7,12 @@ and the rows that end there; a walk over the terminals flags every row with a la
 id.  The rows' failures are five bits, and counts of (part, bits, labels) are all
 that the audit of 120 orders needs.
 
-Prefixes are adaptive.  All texts are counted by prefix; a prefix that outweighs a
-range is counted again two bytes further, and what all of its texts share is passed
-at once.  A prefix of only one text cannot be cut; it is dealt over several tasks
-by id, each finds its own smallest id, and those meet in a second, small trie.
+Prefixes are adaptive.  All texts are counted by prefixes of several lengths; those
+that outweigh a range are counted again from there on, the texts under a longer one
+apart from the rest of a shorter one, so the common start of many near copies is
+passed in long steps.  A prefix of only one text cannot be cut; it is dealt over
+several tasks by id, each finds its own smallest id, and those meet in a second,
+small trie.
 
 Before the texts move, each task inserts them into tries of its own and sends one
 row for each different text, so a text that a third of all documents share moves
@@ -31,7 +33,6 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +44,10 @@ CAPITALS = bytes(range(65, 91))
 SYMBOLS = b"#$%&*|"
 # Bytes of text that one range, and one task's own trie, should hold.
 RANGE_BYTES = 32 << 20
-# Bytes by which a prefix grows, and how far the first look for what its texts share goes; that grows eightfold a level.
-STEP, LOOK = 2, 64
+# Bytes by which a prefix grows: the least step cuts, the longer ones pass what many texts share.
+STEPS = (2, 16, 128, 1024)
+# What a row weighs beside its text, and a byte that no text has: behind a text it keeps the whole text apart from longer ones.
+ROW_WEIGHT, LAST = 64, b"\xff"
 
 
 class Node:
@@ -108,32 +111,38 @@ def failures(text: bytes) -> int:
     )
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], heavy: list[bytes], look: int) -> Iterator[pa.RecordBatch]:
-    """Weight of every prefix that goes on from one of ``heavy``, with the least and the greatest of what follows."""
-    found: dict[bytes, list] = {}
+COUNTED = "parent int, step int, prefix binary, weight long, least long, most long"
+
+
+def _counted(batches: Iterator[pa.RecordBatch], nodes: list[bytes], above: list[int], open_: frozenset[int]) -> Iterator[pa.RecordBatch]:
+    """Weight of every prefix that goes on from the longest of ``nodes`` that a text starts with, and the range of its texts' hashes."""
+    found: dict[tuple[int, int, bytes], list[int]] = {}
     held = 0
 
     def out() -> pa.RecordBatch:
-        values = [[k, *v] for k, v in found.items()]
-        names = ["prefix", "parent", "weight", "least", "most", "one", "two"]
-        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([v[i] for v in values], k) for i, k in enumerate(kinds)], names)
+        values = [(*k, *v) for k, v in found.items()]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([v[i] for v in values], k) for i, k in enumerate(kinds)], [c.split(" ")[0] for c in COUNTED.split(", ")])
 
-    for batch in blocks(batches, "text"):
-        for text in utf8(batch.column("text")):
-            i = bisect_right(heavy, text) - 1
-            if i < 0 or not text.startswith(heavy[i]):
+    for batch in batches:
+        for start, size, mark in zip(utf8(batch.column("start")), batch.column("size").to_pylist(), batch.column("mark").to_pylist()):
+            weight = size + ROW_WEIGHT
+            if len(start) == size:
+                start += LAST
+            i = bisect_right(nodes, start) - 1
+            while i >= 0 and not start.startswith(nodes[i]):
+                i = above[i]
+            if i not in open_:
                 continue
-            size = len(heavy[i]) + STEP
-            prefix, follows, mark = text[:size], text[: size + look], xxhash.xxh64_intdigest(text) >> 1
-            entry = found.get(prefix)
-            if entry is None:
-                found[prefix] = [heavy[i], len(text) + 64, follows, follows, mark, mark]
-                held += 2 * len(follows)
-            else:
-                entry[1] += len(text) + 64
-                entry[2], entry[3] = min(entry[2], follows), max(entry[3], follows)
-                entry[4], entry[5] = min(entry[4], mark), max(entry[5], mark)
+            for step in STEPS:
+                key = (i, step, start[: len(nodes[i]) + step])
+                entry = found.get(key)
+                if entry is None:
+                    found[key] = [weight, mark, mark]
+                    held += len(key[2])
+                else:
+                    entry[0] += weight
+                    entry[1], entry[2] = min(entry[1], mark), max(entry[2], mark)
         if held >= RANGE_BYTES:
             yield out()
             found.clear()
@@ -141,42 +150,74 @@ def _prefixes(batches: Iterator[pa.RecordBatch], heavy: list[bytes], look: int)
     yield out()
 
 
+def _end(prefix: bytes) -> bytes | None:
+    """The first string behind all that start with ``prefix``; none for the last ones."""
+    cut = prefix.rstrip(b"\xff")
+    return cut[:-1] + bytes([cut[-1] + 1]) if cut else None
+
+
+def _inside(prefixes: list[bytes]) -> list[int]:
+    """For sorted prefixes the place of the longest other one that each starts with, or -1."""
+    above, path = [], []
+    for i, p in enumerate(prefixes):
+        while path and not p.startswith(prefixes[path[-1]]):
+            path.pop()
+        above.append(path[-1] if path else -1)
+        path.append(i)
+    return above
+
+
 def text_ranges(docs: DataFrame, least_ranges: int = 1) -> list[tuple[bytes, int]]:
-    """Cuts of the order of texts: (first prefix, tasks) of every range, in order.
+    """Cuts of the order of texts (each with ``LAST`` behind it): (first text, tasks) of every range, in order.
 
     A range weighs about ``RANGE_BYTES``, less if there would be fewer than
     ``least_ranges``; the list has at most a few entries for each range.
     """
-    texts = docs.select("text")
-    total = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    total = docs.agg(F.sum(size + ROW_WEIGHT)).first()[0] or 0
     target = max(1, min(RANGE_BYTES, total // max(1, least_ranges)))
-    leaves: list[tuple[bytes, int]] = []
-    heavy, look = [b""], LOOK
-    while heavy:
-        schema = "prefix binary, parent binary, weight long, least binary, most binary, one long, two long"
-        counted = texts.mapInArrow(lambda b, h=heavy, k=look: _prefixes(b, h, k), schema).groupBy("prefix", "parent")
-        per = counted.agg(F.sum("weight").alias("weight"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("one").alias("one"), F.max("two").alias("two"))
-        whole = (F.col("weight") > target) & (F.col("one") != F.col("two"))
-        # Light prefixes of one parent (65,793 at most) are joined to runs before anything reaches the driver.
-        running = F.sum(F.when(F.col("weight") <= target, F.col("weight")).otherwise(0)).over(Window.partitionBy("parent").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0))
-        runs = per.withColumn("run", F.when(F.col("weight") <= target, F.floor(running / F.lit(target)))).groupBy("parent", F.coalesce("run", F.lit(-1)).alias("run"), F.when(F.col("run").isNull(), F.col("prefix")).alias("alone"))
-        rows = runs.agg(F.min("prefix").alias("prefix"), F.sum("weight").alias("weight"), F.min("least").alias("least"), F.max("most").alias("most"), F.max(whole).alias("cut"), F.count(F.lit(1)).alias("n")).collect()
-        deeper = []
-        for r in rows:
-            prefix = bytes(r["prefix"])
-            if r["cut"]:
-                shared = bytes(r["least"])[: shared_length(bytes(r["least"]), bytes(r["most"]))]
-                deeper.append(shared if len(shared) > len(prefix) else prefix)
-            else:
-                leaves.append((prefix, r["weight"]))
-        heavy, look = sorted(deeper), look * 8
+    # First texts of pieces with their weights; prefixes of a single text with theirs.
+    pieces: dict[bytes, int] = {b"": 0}
+    alone: dict[bytes, int] = {}
+    nodes, open_ = [b""], {b""}
+    while open_:
+        reach = max(map(len, nodes)) + STEPS[-1]
+        starts = docs.select(F.coalesce(F.substring("text", 1, reach), F.lit("")).alias("start"), size.cast("long").alias("size"), F.xxhash64("text").alias("mark"))
+        above, counting = _inside(nodes), frozenset(i for i, p in enumerate(nodes) if p in open_)
+        counted = starts.mapInArrow(lambda b, n=nodes, a=above, o=counting: _counted(b, n, a, o), COUNTED)
+        per = counted.groupBy("parent", "step", "prefix").agg(F.sum("weight").alias("weight"), (F.min("least") != F.max("most")).alias("varied"))
+        # Light prefixes of one parent (some 65,000 at most) are joined to runs before anything reaches the driver.
+        light = F.col("weight") <= target
+        running = F.sum(F.when(light, F.col("weight")).otherwise(0)).over(Window.partitionBy("parent").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0))
+        runs = per.filter(F.col("step") == STEPS[0]).withColumn("run", F.floor(running / F.lit(target))).filter(light).groupBy("parent", "run").agg(F.min("prefix").alias("prefix"), F.sum("weight").alias("weight"))
+        for r in runs.collect():
+            pieces[bytes(r["prefix"])] = pieces.get(bytes(r["prefix"]), 0) + r["weight"]
+        heavy = {(bytes(r["prefix"])): (r["weight"], r["varied"]) for r in per.filter(~light).orderBy(F.desc("weight")).collect()}
+        found = sorted(heavy)
+        nested = _inside(found)
+        # Of nested prefixes of a single text the shortest stands for all.
+        single = {p for p, up in zip(found, nested) if not heavy[p][1] and (up < 0 or heavy[found[up]][1])}
+        rest = {p: w for p, (w, varied) in heavy.items() if varied}
+        for p, up in zip(found, nested):
+            if up >= 0 and found[up] in rest:
+                rest[found[up]] -= heavy[p][0]
+        alone |= {p: heavy[p][0] for p in single}
+        open_ = {p for p, w in rest.items() if w > target}
+        pieces |= {p: max(0, w) for p, w in rest.items() if p not in open_}
+        nodes = sorted({*nodes, *rest, *single})
+    for p in nodes[1:]:
+        for edge in (p, _end(p)):
+            if edge is not None:
+                pieces.setdefault(edge, 0)
     ranges: list[list] = []
-    for prefix, weight in sorted(leaves):
-        if ranges and ranges[-1][1] + weight <= target:
-            ranges[-1][1] += weight
+    for prefix in sorted(pieces):
+        if prefix in alone:
+            ranges.append([prefix, 0, -(-alone[prefix] // target)])
+        elif ranges and ranges[-1][2] == 1 and ranges[-1][1] + pieces[prefix] <= target:
+            ranges[-1][1] += pieces[prefix]
         else:
-            ranges.append([prefix, weight])
-    return [(p, -(-w // (2 * target)) if w > 2 * target else 1) for p, w in ranges]
+            ranges.append([prefix, pieces[prefix], 1])
+    return [(p, n) for p, _, n in ranges]
 
 
 ROWS = "doc_id long, part string, mask int, task int, text binary"
@@ -201,7 +242,7 @@ def _masked(batches: Iterator[pa.RecordBatch], cuts: list[bytes], tasks: list[in
             if row in known:
                 rows.append((ident, part, mask | DUPLICATE, ident % end, None))
             else:
-                at = max(0, bisect_right(cuts, text) - 1)
+                at = bisect_right(cuts, text + LAST) - 1
                 rows.append((ident, part, mask, starts[at] + ident % tasks[at], text))
         return _batch(rows)
 
