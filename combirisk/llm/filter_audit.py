@@ -45,7 +45,7 @@ SYMBOLS = b"#$%&*|"
 # Bytes of text that one range, and one task's own trie, should hold.
 RANGE_BYTES = 32 << 20
 # Bytes by which a prefix grows: the least step cuts, the longer ones pass what many texts share.
-STEPS = (2, 16, 128, 1024)
+STEPS = (2, 4, 8, 16, 64, 256, 1024)
 # What a row weighs beside its text, and a byte that no text has: behind a text it keeps the whole text apart from longer ones.
 ROW_WEIGHT, LAST = 64, b"\xff"
 
