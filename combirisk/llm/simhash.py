@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
     of_fp = placed.select("fp", "root").join(groups, "root").select("fp", "component_id", F.struct("first.doc_id", "first.key").alias("first"))
-    return rows.join(of_fp, "fp")
+    return rows.join(of_fp, "fp").select("doc_id", "key", "fp", "component_id", "first")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
