@@ -12,6 +12,13 @@ from combirisk.schemas import NUMERIC_SCALE, WEIGHT_SCALE
 # through the edges, so no group ever emits all of its pairs.
 SELF_PAIR_LIMIT = 64
 
+# Attributes that up to this many items hold are met through the attribute;
+# commoner ones through sets of the two items of a pair.
+RARE_HOLDERS = 64
+
+# Attributes that one row of a packed set should hold; larger sets take several rows.
+SET_SIZE = 1024
+
 
 def pair_key(one: Column, two: Column) -> list[Column]:
     return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
@@ -80,7 +87,8 @@ def regimen_sizes(regimens: DataFrame) -> DataFrame:
     return regimens.groupBy("regimen_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _split_by_size(regimens: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+def split_by_size(regimens: DataFrame, limit: int = SELF_PAIR_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Members (regimen_id, item, n) of lists of up to ``limit`` items, and of longer ones."""
     sized = regimens.select("regimen_id", "item").join(regimen_sizes(regimens), "regimen_id")
     return sized.filter(F.col("n") <= limit), sized.filter(F.col("n") > limit)
 
@@ -99,7 +107,7 @@ def regimen_edges(regimens: DataFrame, edges: DataFrame, limit: int = SELF_PAIR_
     from the edges of their items and keep those whose other end is a member
     too: the work follows the edges, never the square of the list.
     """
-    short, long = _split_by_size(regimens, limit)
+    short, long = split_by_size(regimens, limit)
     from_pairs = item_pairs(short).join(edges, ["a", "b"])
     one = long.select("regimen_id", F.col("item").alias("a"))
     two = long.select("regimen_id", F.col("item").alias("b"))
@@ -108,6 +116,80 @@ def regimen_edges(regimens: DataFrame, edges: DataFrame, limit: int = SELF_PAIR_
     return from_pairs.select(*columns).unionByName(from_edges.select(*columns))
 
 
+def by_holders(attributes: DataFrame, most: int = RARE_HOLDERS) -> tuple[DataFrame, DataFrame]:
+    """Rows of attributes that 2 to ``most`` items hold, and rows of commoner ones."""
+    counted = attributes.groupBy("attr").agg(F.count(F.lit(1)).alias("n"))
+    rare = attributes.select("item", "attr").join(counted.filter(F.col("n").between(2, most)), "attr", "left_semi")
+    return rare, attributes.select("item", "attr").join(counted.filter(F.col("n") > most), "attr", "left_semi")
+
+
+def rare_triples(rare: DataFrame) -> DataFrame:
+    """(a, b, attr) of all pairs that share a rare attribute: at most half of ``RARE_HOLDERS`` rows for each given one."""
+    one = rare.select("attr", F.col("item").alias("a"))
+    return one.join(rare.select("attr", F.col("item").alias("b")), "attr").filter(F.col("a") < F.col("b"))
+
+
+def packed_sets(attributes: DataFrame, size: int = SET_SIZE) -> DataFrame:
+    """(item, blocks, block, attrs): the set of every item, cut by hash into a power of two of blocks."""
+    counted = attributes.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / size)))).cast("int")
+    rows = attributes.join(counted.select("item", blocks.alias("blocks")), "item")
+    return rows.groupBy("item", "blocks", F.pmod(F.xxhash64("attr"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list("attr").alias("attrs"))
+
+
+def common_triples(pairs: DataFrame, common: DataFrame, size: int = SET_SIZE) -> DataFrame:
+    """(a, b, attr) of the given pairs over common attributes: the two packed sets are intersected once for each pair.
+
+    The set with more blocks sets the number of steps of a pair.  Blocks are nested
+    powers of two, so an attribute meets itself in exactly one step.
+    """
+    sets = packed_sets(common, size)
+    blocks = sets.select("item", "blocks").distinct()
+    one, two = (blocks.select(F.col("item").alias(c), F.col("blocks").alias(f"n_{c}")) for c in "ab")
+    steps = F.explode(F.sequence(F.lit(0), F.greatest("n_a", "n_b") - 1)).alias("step")
+    wanted = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", steps)
+    wanted = wanted.select("a", "b", F.pmod("step", "n_a").alias("block_a"), F.pmod("step", "n_b").alias("block_b"))
+    left, right = (sets.select(F.col("item").alias(c), F.col("block").alias(f"block_{c}"), F.col("attrs").alias(f"attrs_{c}")) for c in "ab")
+    met = wanted.join(left, ["a", "block_a"]).join(right, ["b", "block_b"])
+    return met.select("a", "b", F.explode(F.array_intersect("attrs_a", "attrs_b")).alias("attr"))
+
+
+def shared_triples(pairs: DataFrame, attributes: DataFrame, most: int = RARE_HOLDERS) -> DataFrame:
+    """(a, b, attr) of the given distinct pairs (a < b); the work does not depend on how often a pair occurs."""
+    rare, common = by_holders(attributes, most)
+    return rare_triples(rare).join(pairs, ["a", "b"], "left_semi").select("a", "b", "attr").unionByName(common_triples(pairs, common))
+
+
+def _measured(triples: DataFrame, key: list[str], measures: list[Column], ranked: bool) -> DataFrame:
+    if ranked:
+        triples = triples.withColumn("rank_", F.row_number().over(Window.partitionBy(*key).orderBy("attr")))
+    return triples.groupBy(*key).agg(*measures)
+
+
+def long_triples(long: DataFrame, attributes: DataFrame, limit: int = SELF_PAIR_LIMIT, most: int = RARE_HOLDERS) -> DataFrame:
+    """(regimen_id, a, b, attr) of long lists: from the pairs that share a rare attribute to the members, and by common attributes."""
+    rare, common = by_holders(attributes, most)
+    one = long.select("regimen_id", F.col("item").alias("a"))
+    two = long.select("regimen_id", F.col("item").alias("b"))
+    met = rare_triples(rare).join(one, "a").join(two, ["regimen_id", "b"])
+    return met.select("regimen_id", "a", "b", "attr").unionByName(shared_attributes(long, common, limit))
+
+
+def regimen_overlaps(regimens: DataFrame, attributes: DataFrame, *measures: Column, ranked: bool = False, limit: int = SELF_PAIR_LIMIT, most: int = RARE_HOLDERS) -> DataFrame:
+    """(regimen_id, a, b, measures) of every pair of a regimen that shares an attribute.
+
+    ``measures`` aggregate over ``attr``, and over its alphabetical place ``rank_``
+    in the pair if ``ranked``.  They are made once for each distinct pair that
+    occurs in a short list, and then joined back to the lists.
+    """
+    short, long = split_by_size(regimens, limit)
+    pairs = item_pairs(short)
+    per_pair = _measured(shared_triples(pairs.select("a", "b").distinct(), attributes, most), ["a", "b"], list(measures), ranked)
+    found = pairs.join(per_pair, ["a", "b"])
+    of_long = _measured(long_triples(long, attributes, limit, most), ["regimen_id", "a", "b"], list(measures), ranked)
+    return found.select(*of_long.columns).unionByName(of_long)
+
+
 def shared_attributes(regimens: DataFrame, attributes: DataFrame, limit: int = SELF_PAIR_LIMIT) -> DataFrame:
     """(regimen_id, a, b, attr): pairs of a regimen that share an attribute.
 

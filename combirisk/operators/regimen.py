@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from combirisk.functions import rules
 from combirisk.functions.severity import scale_by_substring, scale_value
 from combirisk.functions.text import any_of
-from combirisk.operators.pairs import regimen_edges, regimen_sizes, shared_attributes, symmetric
+from combirisk.operators.pairs import regimen_edges, regimen_overlaps, regimen_sizes, symmetric
 from combirisk.operators.profiles import count_if
 from combirisk.schemas import CONTRAINDICATED, MAJOR, MINOR, MODERATE, PAIR_WEIGHT_SCALE, SEVERE_LABELS, SHARE_SCALE
 
@@ -97,10 +97,10 @@ def interaction_part(found: DataFrame, sizes: DataFrame) -> DataFrame:
     return sizes.join(per, "regimen_id", "left").select("regimen_id", part.alias("ddi_risk"))
 
 
-def effect_part(shared: DataFrame, sizes: DataFrame, terms=rules.HIGH_RISK_EFFECTS, cap: int = 5) -> DataFrame:
+def effect_part(regimens: DataFrame, effects: DataFrame, sizes: DataFrame, terms=rules.HIGH_RISK_EFFECTS, cap: int = 5) -> DataFrame:
     """Half the share of overlapping pairs, half the high-risk hits (at most ``cap`` per pair) over 2n."""
     high = F.when(any_of(F.lower("attr"), terms), 1).otherwise(0)
-    per_pair = shared.groupBy("regimen_id", "a", "b").agg(F.least(F.sum(high), F.lit(cap)).alias("high"))
+    per_pair = regimen_overlaps(regimens, effects, F.least(F.sum(high), F.lit(cap)).alias("high"))
     per = per_pair.groupBy("regimen_id").agg(
         F.count(F.lit(1)).alias("pairs"), F.sum("high").alias("high"), count_if(F.col("high") > 0).alias("high_pairs")
     )
@@ -110,9 +110,9 @@ def effect_part(shared: DataFrame, sizes: DataFrame, terms=rules.HIGH_RISK_EFFEC
     return rows.select("regimen_id", F.least(F.lit(1.0), 0.5 * base + 0.5 * boost).alias("effect_risk"), "high_pairs")
 
 
-def overlap_part(shared: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+def overlap_part(regimens: DataFrame, attributes: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
     """Share of the possible pairs that overlap, with their number."""
-    per = shared.groupBy("regimen_id").agg(F.countDistinct("a", "b").alias("pairs"))
+    per = regimen_overlaps(regimens, attributes, F.count(F.lit(1)).alias("shared")).groupBy("regimen_id").agg(F.count(F.lit(1)).alias("pairs"))
     rows = sizes.join(per, "regimen_id", "left").fillna(0, ["pairs"])
     part = F.coalesce(F.try_divide(F.col("pairs"), pair_count(F.col("n"))), F.lit(0.0))
     return rows.select("regimen_id", part.alias(f"{name}_risk"), F.col("pairs").alias(f"{name}_pairs"))
@@ -147,9 +147,9 @@ def five_part_risk(
     counts = found.groupBy("regimen_id").agg(*label_counts())
     rows = (
         sizes.join(interaction_part(found, sizes), "regimen_id")
-        .join(effect_part(shared_attributes(regimens, effects), sizes), "regimen_id")
-        .join(overlap_part(shared_attributes(regimens, proteins), sizes, "protein"), "regimen_id")
-        .join(overlap_part(shared_attributes(regimens, pathways), sizes, "pathway"), "regimen_id")
+        .join(effect_part(regimens, effects, sizes), "regimen_id")
+        .join(overlap_part(regimens, proteins, sizes, "protein"), "regimen_id")
+        .join(overlap_part(regimens, pathways, sizes, "pathway"), "regimen_id")
         .join(network_part(regimens, metrics), "regimen_id")
         .join(counts, "regimen_id", "left")
         .fillna(0, ["contraindicated", "major", "moderate", "minor"])
@@ -252,7 +252,7 @@ def decompose(
     with more substitutes, the first on a tie.
     """
     key = ["regimen_id", "a", "b"]
-    count = lambda attrs, name: shared_attributes(regimens, attrs).groupBy(*key).agg(F.count(F.lit(1)).alias(name))
+    count = lambda attrs, name: regimen_overlaps(regimens, attrs, F.count(F.lit(1)).alias(name))
     found = regimen_edges(regimens, edges).select(*key, "weight", "label")
     rows = (
         found.join(count(effects, "shared_effects"), key, "full")

@@ -1,20 +1,28 @@
 """Level-synchronous breadth-first kernels: betweenness, closeness, path lengths.
 
-All sources advance together.  Each level is one join of the frontier with the
-edges, pre-aggregated per (source, node), and is checkpointed so that lost
-executors cost one level, not the whole walk.
+The sources of a block advance together.  Each level is one join of the frontier
+with the edges, pre-aggregated per node, and is checkpointed so that lost executors
+cost one level, not the whole walk.
+
+Where only distances count, a node carries the sources that have reached it as bits
+of long columns, and a level is one ``bit_or`` over the neighbours.  Where paths
+count, too, a level holds (source, node) rows of one block of sources.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from combirisk.operators.pairs import symmetric
 from combirisk.session import cut_lineage
 
+# Sources that walk together where paths are counted, and 64-bit columns of sources where only distances are.
+SOURCE_BLOCK = 512
+WORDS = 32
+
 
 def first_sources(edges: DataFrame, k: int | None = 100) -> DataFrame:
     """The first k items by name as sources; ``None`` takes every item."""
@@ -25,10 +33,12 @@ def first_sources(edges: DataFrame, k: int | None = 100) -> DataFrame:
 def walk_levels(neighbours: DataFrame, sources: DataFrame, max_depth: int | None = None) -> list[DataFrame]:
     """Frontiers (source, node, sigma) of level 0, 1, …; sigma counts shortest paths."""
     level = cut_lineage(sources.select("source", F.col("source").alias("node"), F.lit(1.0).alias("sigma")))
-    levels, seen = [level], level.select("source", "node")
-    reached = sources_left = level.count()
-    everything = sources_left * neighbours.select("item").distinct().count()
+    levels = [level]
+    reached = level.count()
+    everything = reached * neighbours.select("item").distinct().count()
     while reached < everything and (max_depth is None or len(levels) <= max_depth):
+        # Edges lead one level up, down or along, so only the last two levels can come again.
+        seen = reduce(DataFrame.unionByName, [lv.select("source", "node") for lv in levels[-2:]])
         step = (
             level.join(neighbours.select(F.col("item").alias("node"), "other"), "node")
             .groupBy("source", F.col("other").alias("node"))
@@ -41,7 +51,6 @@ def walk_levels(neighbours: DataFrame, sources: DataFrame, max_depth: int | None
             break
         levels.append(level)
         reached += size
-        seen = seen.unionByName(level.select("source", "node"))
     return levels
 
 
@@ -51,9 +60,8 @@ def distances(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(item, betweenness): dependency sums over the sources, divided by the largest."""
-    neighbours = cut_lineage(symmetric(edges.select("a", "b")))
+def dependencies(neighbours: DataFrame, sources: DataFrame) -> DataFrame | None:
+    """(item, b): dependency sums over the sources, without items that lie on no path; ``None`` if no source has a neighbour."""
     levels = walk_levels(neighbours, sources)
     below = None
     scores = []
@@ -72,24 +80,108 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
             .groupBy("source", F.col("other").alias("node"))
             .agg(F.sum(F.col("up") / F.col("sigma") * (1 + F.col("delta"))).alias("delta"))
         )
-    total = reduce(DataFrame.unionByName, scores).groupBy(F.col("node").alias("item")).agg(F.sum("delta").alias("b"))
-    top = total.agg(F.max("b")).scalar()
+    if not scores:
+        return None
+    return reduce(DataFrame.unionByName, scores).groupBy(F.col("node").alias("item")).agg(F.sum("delta").alias("b"))
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, block: int = SOURCE_BLOCK) -> DataFrame:
+    """(item, betweenness): dependency sums over the sources, divided by the largest.
+
+    Sources are walked in blocks of about ``block``, so at most that many rows an item exist at a time.
+    """
+    neighbours = cut_lineage(symmetric(edges.select("a", "b")))
+    sources = cut_lineage(sources)
+    blocks = max(1, -(-sources.count() // block))
+    parts = []
+    for i in range(blocks):
+        part = dependencies(neighbours, sources.filter(F.pmod(F.xxhash64("source"), F.lit(blocks)) == i))
+        if part is not None:
+            parts.append(cut_lineage(part) if blocks > 1 else part)
     items = neighbours.select("item").distinct()
+    if not parts:
+        return items.withColumn("betweenness", F.lit(0.0))
+    total = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy("item").agg(F.sum("b").alias("b"))
+    top = total.agg(F.max("b")).scalar()
     return items.join(total, "item", "left").select(
         "item", F.coalesce(F.try_divide(F.col("b"), F.nullif(top, F.lit(0.0))), F.lit(0.0)).alias("betweenness")
     )
 
 
-def closeness(reached: DataFrame, n: int) -> DataFrame:
-    """(item, closeness) from distances to sources = all items, scaled by the reached share."""
-    sums = reached.groupBy(F.col("node").alias("item")).agg(F.sum("dist").alias("total"), (F.count(F.lit(1)) - 1).alias("r"))
-    value = F.when(F.col("total") > 0, F.col("r") / F.col("total") * F.col("r") / (n - 1)).otherwise(0.0)
+def _bit_columns(word: Column, bit: Column, words: int) -> list[Column]:
+    return [F.when(word == k, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long")).alias(f"f{k}") for k in range(words)]
+
+
+def numbered(items: DataFrame, buckets: int) -> DataFrame:
+    """(item, number): distinct items numbered from 0, counted inside hash buckets that start where the ones before end."""
+    dealt = items.select("item", F.pmod(F.xxhash64("item"), F.lit(buckets)).alias("bucket"))
+    sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("bucket").orderBy("item")) - 1
+    return dealt.withColumn("inside", inside).join(starts, "bucket").select("item", (F.col("start") + F.col("inside")).alias("number"))
+
+
+def distance_sums(edges: DataFrame, words: int = WORDS) -> DataFrame:
+    """(item, total, reached, far): sum of distances, number of reached items with itself, and largest distance.
+
+    Edges have no direction, so what a node learns about the sources that reach it
+    is what the node as a source reaches.  A block has 64 sources in each of
+    ``words`` long columns; a level joins the nodes whose frontier is not empty to
+    their neighbours, partial ``bit_or`` shrinks a hub's incoming rows, and what was
+    not seen before is counted at once.  One row an item exists at any time.
+    """
+    neighbours = cut_lineage(symmetric(edges.select("a", "b")))
+    items = cut_lineage(neighbours.select("item").distinct())
+    total = items.count()
+    ranked = cut_lineage(numbered(items, max(1, total // 1024)))
+    size = 64 * words
+    seen, fresh = [f"s{k}" for k in range(words)], [f"f{k}" for k in range(words)]
+    parts = []
+    for start in range(0, total, size):
+        inside = ranked.filter(F.col("number").between(start, start + size - 1)).withColumn("at", F.col("number") - start)
+        inside = inside.select("item", F.floor(F.col("at") / 64).cast("int").alias("word"), F.pmod(F.col("at"), F.lit(64)).cast("int").alias("bit"))
+        first = inside.select("item", *_bit_columns(F.col("word"), F.col("bit"), words))
+        zero = F.lit(0).cast("long")
+        state = ranked.select("item").join(first, "item", "left").fillna(0, fresh)
+        own = sum(F.bit_count(c) for c in fresh)
+        state = cut_lineage(state.select("item", *fresh, *[F.col(f).alias(s) for f, s in zip(fresh, seen)], zero.alias("total"), own.cast("long").alias("reached"), zero.alias("far")))
+        depth = 0
+        while True:
+            depth += 1
+            moving = reduce(lambda x, y: x | y, [F.col(f) != 0 for f in fresh])
+            spread = state.filter(moving).select("item", *fresh).join(neighbours, "item").groupBy(F.col("other").alias("item")).agg(*[F.bit_or(f).alias(f"g{k}") for k, f in enumerate(fresh)])
+            came = [F.coalesce(F.col(f"g{k}"), zero).bitwiseAND(F.bitwise_not(s)).alias(f"f{k}") for k, s in enumerate(seen)]
+            met = state.drop(*fresh).join(spread, "item", "left").select("item", "total", "reached", "far", *seen, *came)
+            news = sum(F.bit_count(f) for f in fresh).cast("long")
+            kept = met.select(
+                "item", *fresh, *[F.col(s).bitwiseOR(F.col(f)).alias(s) for s, f in zip(seen, fresh)],
+                (F.col("total") + depth * news).alias("total"), (F.col("reached") + news).alias("reached"), F.when(news > 0, depth).otherwise(F.col("far")).cast("long").alias("far"),
+            )
+            state = cut_lineage(kept)
+            if state.filter(F.col("far") == depth).isEmpty():
+                break
+        parts.append(state.select("item", "total", "reached", "far"))
+    if not parts:
+        return items.select("item", *[F.lit(0).cast("long").alias(c) for c in ("total", "reached", "far")])
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("item").agg(F.sum("total").alias("total"), F.sum("reached").alias("reached"), F.max("far").alias("far"))
+
+
+def sums_of(reached: DataFrame) -> DataFrame:
+    """What ``distance_sums`` gives, from (source, node, dist) rows of all sources."""
+    return reached.groupBy(F.col("node").alias("item")).agg(F.sum("dist").alias("total"), F.count(F.lit(1)).alias("reached"), F.max("dist").alias("far"))
+
+
+def closeness(sums: DataFrame, n: int) -> DataFrame:
+    """(item, closeness) from ``distance_sums`` or rows of distances, scaled by the reached share."""
+    sums = sums if "total" in sums.columns else sums_of(sums)
+    r = F.col("reached") - 1
+    value = F.when(F.col("total") > 0, r / F.col("total") * r / (n - 1)).otherwise(0.0)
     return sums.select("item", value.alias("closeness"))
 
 
-def path_statistics(reached: DataFrame) -> DataFrame:
-    """Diameter, mean length and number of ordered reachable pairs."""
-    apart = reached.filter("dist > 0")
-    return apart.agg(
-        F.max("dist").alias("diameter"), F.round(F.avg("dist"), 6).alias("average_path_length"), F.count(F.lit(1)).alias("pairs")
-    )
+def path_statistics(sums: DataFrame) -> DataFrame:
+    """Diameter, mean length and number of ordered reachable pairs, from ``distance_sums`` or rows of distances."""
+    sums = sums if "total" in sums.columns else sums_of(sums)
+    pairs = F.sum(F.col("reached") - 1)
+    return sums.agg(F.nullif(F.max("far"), F.lit(0)).alias("diameter"), F.round(F.try_divide(F.sum("total"), pairs), 6).alias("average_path_length"), F.coalesce(pairs, F.lit(0)).alias("pairs"))

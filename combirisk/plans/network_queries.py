@@ -139,17 +139,11 @@ def g11(spark, sf):
 CLOSENESS_SQL = f", cl AS (SELECT node AS item, CASE WHEN sum(dist) > 0 THEN (count(*) - 1) / sum(dist)::DOUBLE * (count(*) - 1) / ((SELECT count(*) FROM nodes) - 1)::DOUBLE ELSE 0 END AS closeness FROM s{DEPTH} GROUP BY 1)"
 
 
-def all_distances(edges):
-    neighbours = cut_lineage(symmetric(edges.select("a", "b")))
-    return T.distances(T.walk_levels(neighbours, T.first_sources(edges, None)))
-
-
 @query("g12_closeness", walk_sql("SELECT item FROM nodes", counted=False) + CLOSENESS_SQL + " SELECT item, round(closeness, 6) AS closeness FROM cl")
 def g12(spark, sf):
     edges = cut_lineage(V.edges(spark, sf).select("a", "b"))
-    reached = all_distances(edges)
-    n = reached.select("node").distinct().count()
-    return T.closeness(reached, n).select("item", F.round("closeness", 6).alias("closeness"))
+    sums = cut_lineage(T.distance_sums(edges))
+    return T.closeness(sums, sums.count()).select("item", F.round("closeness", 6).alias("closeness"))
 
 
 @query(
@@ -160,11 +154,10 @@ def g12(spark, sf):
 )
 def g12_combined(spark, sf):
     edges = cut_lineage(V.edges(spark, sf).select("a", "b", "label", "weight"))
-    reached = all_distances(edges)
-    n = reached.select("node").distinct().count()
+    sums = cut_lineage(T.distance_sums(edges))
     parts = (
         N.node_metrics(edges, T.betweenness(edges, T.first_sources(edges, None)))
-        .join(T.closeness(reached, n), "item")
+        .join(T.closeness(sums, sums.count()), "item")
         .join(I.pagerank(edges, tolerance=TOLERANCE), "item")
         .join(I.eigenvector(edges, tolerance=TOLERANCE), "item")
     )
@@ -228,7 +221,7 @@ def g14_components(spark, sf):
 )
 def g15(spark, sf):
     edges = cut_lineage(V.edges(spark, sf).select("a", "b"))
-    return T.path_statistics(all_distances(edges))
+    return T.path_statistics(T.distance_sums(edges))
 
 
 @query(
@@ -306,13 +299,12 @@ def g21(spark, sf):
 def g22(spark, sf):
     """Five centralities of the interaction part of the property graph, side by side."""
     edges = cut_lineage(N.interaction_subgraph(property_graph(spark, sf)[1]))
-    reached = all_distances(edges)
     degree = cut_lineage(symmetric(edges).groupBy("item").agg(F.count(F.lit(1)).alias("degree")))
     return (
         degree.join(first_betweenness(edges, WIDE_SOURCES), "item")
         .join(I.pagerank(edges, tolerance=TOLERANCE), "item")
         .join(I.eigenvector(edges, tolerance=TOLERANCE), "item")
-        .join(T.closeness(reached, degree.count()), "item")
+        .join(T.closeness(T.distance_sums(edges), degree.count()), "item")
         .select(
             "item", "degree", F.round("betweenness", 6).alias("betweenness"), F.round("pagerank", 9).alias("pagerank"),
             F.round("eigenvector", 8).alias("eigenvector"), F.round("closeness", 6).alias("closeness"),

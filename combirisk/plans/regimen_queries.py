@@ -8,7 +8,7 @@ from combirisk.functions import codes, rules
 from combirisk.operators import attributes as A
 from combirisk.operators import network as N
 from combirisk.operators import regimen as H
-from combirisk.operators.pairs import regimen_edges, regimen_sizes, shared_attributes
+from combirisk.operators.pairs import regimen_edges, regimen_sizes
 from combirisk.plans import views as V
 from combirisk.plans.check_views import any_contains, lit
 from combirisk.plans.join_queries import PREFIX_SQL
@@ -91,7 +91,7 @@ def h2a(spark, sf):
 @query("h2b_effect_part", PARTS_SQL + " SELECT regimen_id, round(effect_risk, 6) AS effect_risk, high_pairs FROM parts")
 def h2b(spark, sf):
     regs = V.regimens(spark, sf)
-    part = H.effect_part(shared_attributes(regs, V.side_effects(spark, sf)), regimen_sizes(regs))
+    part = H.effect_part(regs, V.side_effects(spark, sf), regimen_sizes(regs))
     return part.select("regimen_id", F.round("effect_risk", 6).alias("effect_risk"), "high_pairs")
 
 
@@ -99,8 +99,8 @@ def h2b(spark, sf):
 def h2c(spark, sf):
     regs = V.regimens(spark, sf)
     sizes = regimen_sizes(regs)
-    one = H.overlap_part(shared_attributes(regs, V.proteins(spark, sf)), sizes, "protein")
-    two = H.overlap_part(shared_attributes(regs, V.pathways(spark, sf)), sizes, "pathway")
+    one = H.overlap_part(regs, V.proteins(spark, sf), sizes, "protein")
+    two = H.overlap_part(regs, V.pathways(spark, sf), sizes, "pathway")
     three = H.network_part(regs, V.item_metrics(spark, sf))
     joined = one.join(two, "regimen_id").join(three, "regimen_id")
     return joined.select("regimen_id", F.round("protein_risk", 6).alias("protein_risk"), "protein_pairs", F.round("pathway_risk", 6).alias("pathway_risk"), "pathway_pairs", F.round("network_risk", 6).alias("network_risk"))
