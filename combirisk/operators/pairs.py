@@ -160,34 +160,26 @@ def shared_triples(pairs: DataFrame, attributes: DataFrame, most: int = RARE_HOL
     return rare_triples(rare).join(pairs, ["a", "b"], "left_semi").select("a", "b", "attr").unionByName(common_triples(pairs, common))
 
 
-def _measured(triples: DataFrame, key: list[str], measures: list[Column], ranked: bool) -> DataFrame:
-    if ranked:
-        triples = triples.withColumn("rank_", F.row_number().over(Window.partitionBy(*key).orderBy("attr")))
-    return triples.groupBy(*key).agg(*measures)
-
+def overlap_edges(regimens: DataFrame, attributes: DataFrame, *measures: Column, ranked: bool = False, limit: int = SELF_PAIR_LIMIT, most: int = RARE_HOLDERS) -> DataFrame:
+    """(a, b, measures) of every pair of items that shares an attribute and may meet in a regimen.
 
-def long_triples(long: DataFrame, attributes: DataFrame, limit: int = SELF_PAIR_LIMIT, most: int = RARE_HOLDERS) -> DataFrame:
-    """(regimen_id, a, b, attr) of long lists: from the pairs that share a rare attribute to the members, and by common attributes."""
+    ``measures`` aggregate over ``attr``, and over its alphabetical place ``rank_``
+    in the pair if ``ranked``.  The table is keyed like edges: pairs come from rare
+    attributes, whatever lists they are in, and over common attributes from the
+    distinct pairs of short lists and the sharing pairs of long ones.
+    """
     rare, common = by_holders(attributes, most)
-    one = long.select("regimen_id", F.col("item").alias("a"))
-    two = long.select("regimen_id", F.col("item").alias("b"))
-    met = rare_triples(rare).join(one, "a").join(two, ["regimen_id", "b"])
-    return met.select("regimen_id", "a", "b", "attr").unionByName(shared_attributes(long, common, limit))
+    short, long = split_by_size(regimens, limit)
+    pairs = item_pairs(short).select("a", "b").unionByName(shared_attributes(long, common, limit).select("a", "b")).distinct()
+    triples = rare_triples(rare).select("a", "b", "attr").unionByName(common_triples(pairs, common))
+    if ranked:
+        triples = triples.withColumn("rank_", F.row_number().over(Window.partitionBy("a", "b").orderBy("attr")))
+    return triples.groupBy("a", "b").agg(*measures)
 
 
 def regimen_overlaps(regimens: DataFrame, attributes: DataFrame, *measures: Column, ranked: bool = False, limit: int = SELF_PAIR_LIMIT, most: int = RARE_HOLDERS) -> DataFrame:
-    """(regimen_id, a, b, measures) of every pair of a regimen that shares an attribute.
-
-    ``measures`` aggregate over ``attr``, and over its alphabetical place ``rank_``
-    in the pair if ``ranked``.  They are made once for each distinct pair that
-    occurs in a short list, and then joined back to the lists.
-    """
-    short, long = split_by_size(regimens, limit)
-    pairs = item_pairs(short)
-    per_pair = _measured(shared_triples(pairs.select("a", "b").distinct(), attributes, most), ["a", "b"], list(measures), ranked)
-    found = pairs.join(per_pair, ["a", "b"])
-    of_long = _measured(long_triples(long, attributes, limit, most), ["regimen_id", "a", "b"], list(measures), ranked)
-    return found.select(*of_long.columns).unionByName(of_long)
+    """(regimen_id, a, b, measures) of every pair of a regimen that shares an attribute; see ``overlap_edges``."""
+    return regimen_edges(regimens, overlap_edges(regimens, attributes, *measures, ranked=ranked, limit=limit, most=most), limit)
 
 
 def shared_attributes(regimens: DataFrame, attributes: DataFrame, limit: int = SELF_PAIR_LIMIT) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from combirisk.functions import rules
 from combirisk.functions.severity import scale_by_substring, scale_value
 from combirisk.functions.text import any_of
-from combirisk.operators.pairs import regimen_edges, regimen_overlaps, regimen_sizes, symmetric
+from combirisk.operators.pairs import overlap_edges, regimen_edges, regimen_overlaps, regimen_sizes, symmetric
 from combirisk.operators.profiles import count_if
 from combirisk.schemas import CONTRAINDICATED, MAJOR, MINOR, MODERATE, PAIR_WEIGHT_SCALE, SEVERE_LABELS, SHARE_SCALE
 
@@ -90,32 +90,43 @@ def pair_count(n: Column) -> Column:
     return n * (n - 1) / 2
 
 
+def _interaction_share(weight: Column, n: Column) -> Column:
+    return F.coalesce(F.try_divide(weight, 10.0 * pair_count(n)), F.lit(0.0))
+
+
+def _pair_share(pairs: Column, n: Column) -> Column:
+    return F.coalesce(F.try_divide(pairs, pair_count(n)), F.lit(0.0))
+
+
+def _effect_share(pairs: Column, high: Column, n: Column) -> Column:
+    return F.least(F.lit(1.0), 0.5 * _pair_share(pairs, n) + 0.5 * F.least(F.lit(1.0), high / (2.0 * n)))
+
+
+def _high_hits(terms, cap: int) -> Column:
+    return F.least(F.sum(F.when(any_of(F.lower("attr"), terms), 1).otherwise(0)), F.lit(cap))
+
+
 def interaction_part(found: DataFrame, sizes: DataFrame) -> DataFrame:
     """Severity sum over ten points per possible pair."""
     per = found.groupBy("regimen_id").agg(F.sum("weight").alias("w"))
-    part = F.coalesce(F.try_divide(F.col("w"), 10.0 * pair_count(F.col("n"))), F.lit(0.0))
-    return sizes.join(per, "regimen_id", "left").select("regimen_id", part.alias("ddi_risk"))
+    return sizes.join(per, "regimen_id", "left").select("regimen_id", _interaction_share(F.col("w"), F.col("n")).alias("ddi_risk"))
 
 
 def effect_part(regimens: DataFrame, effects: DataFrame, sizes: DataFrame, terms=rules.HIGH_RISK_EFFECTS, cap: int = 5) -> DataFrame:
     """Half the share of overlapping pairs, half the high-risk hits (at most ``cap`` per pair) over 2n."""
-    high = F.when(any_of(F.lower("attr"), terms), 1).otherwise(0)
-    per_pair = regimen_overlaps(regimens, effects, F.least(F.sum(high), F.lit(cap)).alias("high"))
+    per_pair = regimen_overlaps(regimens, effects, _high_hits(terms, cap).alias("high"))
     per = per_pair.groupBy("regimen_id").agg(
         F.count(F.lit(1)).alias("pairs"), F.sum("high").alias("high"), count_if(F.col("high") > 0).alias("high_pairs")
     )
     rows = sizes.join(per, "regimen_id", "left").fillna(0, ["pairs", "high", "high_pairs"])
-    base = F.coalesce(F.try_divide(F.col("pairs"), pair_count(F.col("n"))), F.lit(0.0))
-    boost = F.least(F.lit(1.0), F.col("high") / (2.0 * F.col("n")))
-    return rows.select("regimen_id", F.least(F.lit(1.0), 0.5 * base + 0.5 * boost).alias("effect_risk"), "high_pairs")
+    return rows.select("regimen_id", _effect_share(F.col("pairs"), F.col("high"), F.col("n")).alias("effect_risk"), "high_pairs")
 
 
 def overlap_part(regimens: DataFrame, attributes: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
     """Share of the possible pairs that overlap, with their number."""
     per = regimen_overlaps(regimens, attributes, F.count(F.lit(1)).alias("shared")).groupBy("regimen_id").agg(F.count(F.lit(1)).alias("pairs"))
     rows = sizes.join(per, "regimen_id", "left").fillna(0, ["pairs"])
-    part = F.coalesce(F.try_divide(F.col("pairs"), pair_count(F.col("n"))), F.lit(0.0))
-    return rows.select("regimen_id", part.alias(f"{name}_risk"), F.col("pairs").alias(f"{name}_pairs"))
+    return rows.select("regimen_id", _pair_share(F.col("pairs"), F.col("n")).alias(f"{name}_risk"), F.col("pairs").alias(f"{name}_pairs"))
 
 
 def network_part(regimens: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -139,20 +150,33 @@ def five_part_risk(
 ) -> DataFrame:
     """Five parts, their weighted sum and the level of every regimen.
 
-    Every part is one aggregate per regimen; parts meet on the regimen id, so
-    the joins reuse one partitioning.  Regimens below two items are MINIMAL, 0.
+    What a pair contributes is put together once for each distinct pair, and all
+    parts but the network's are one aggregate over the pairs of a regimen.
+    Regimens below two items are MINIMAL, 0.
     """
-    sizes = regimen_sizes(regimens)
-    found = regimen_edges(regimens, edges)
-    counts = found.groupBy("regimen_id").agg(*label_counts())
+    one = F.count(F.lit(1))
+    per_pair = (
+        edges.select("a", "b", "weight", "label")
+        .join(overlap_edges(regimens, effects, _high_hits(rules.HIGH_RISK_EFFECTS, 5).alias("high")), ["a", "b"], "full")
+        .join(overlap_edges(regimens, proteins, one.alias("proteins")), ["a", "b"], "full")
+        .join(overlap_edges(regimens, pathways, one.alias("pathways")), ["a", "b"], "full")
+    )
+    per = regimen_edges(regimens, per_pair).groupBy("regimen_id").agg(
+        F.sum("weight").alias("weight"), F.count("high").alias("pairs"), F.sum("high").alias("high"), count_if(F.col("high") > 0).alias("high_pairs"),
+        F.count("proteins").alias("protein_pairs"), F.count("pathways").alias("pathway_pairs"), *label_counts(),
+    )
+    counts = ["pairs", "high", "high_pairs", "protein_pairs", "pathway_pairs", "contraindicated", "major", "moderate", "minor"]
+    n = F.col("n")
     rows = (
-        sizes.join(interaction_part(found, sizes), "regimen_id")
-        .join(effect_part(regimens, effects, sizes), "regimen_id")
-        .join(overlap_part(regimens, proteins, sizes, "protein"), "regimen_id")
-        .join(overlap_part(regimens, pathways, sizes, "pathway"), "regimen_id")
+        regimen_sizes(regimens).join(per, "regimen_id", "left").fillna(0, counts)
+        .withColumns({
+            "ddi_risk": _interaction_share(F.col("weight"), n),
+            "effect_risk": _effect_share(F.col("pairs"), F.col("high"), n),
+            "protein_risk": _pair_share(F.col("protein_pairs"), n),
+            "pathway_risk": _pair_share(F.col("pathway_pairs"), n),
+        })
+        .drop("weight", "pairs", "high")
         .join(network_part(regimens, metrics), "regimen_id")
-        .join(counts, "regimen_id", "left")
-        .fillna(0, ["contraindicated", "major", "moderate", "minor"])
     )
     total = reduce(lambda x, y: x + y, [w * F.col(c) for c, w in PART_WEIGHTS.items()])
     scored = rows.withColumn("overall", F.when(F.col("n") >= 2, F.round(total, 9)).otherwise(0.0))
@@ -251,15 +275,15 @@ def decompose(
     left out.  ``alternatives(item, n)`` decides which side to replace: the one
     with more substitutes, the first on a tie.
     """
-    key = ["regimen_id", "a", "b"]
-    count = lambda attrs, name: regimen_overlaps(regimens, attrs, F.count(F.lit(1)).alias(name))
-    found = regimen_edges(regimens, edges).select(*key, "weight", "label")
-    rows = (
-        found.join(count(effects, "shared_effects"), key, "full")
-        .join(count(proteins, "shared_proteins"), key, "full")
+    count = lambda attrs, name: overlap_edges(regimens, attrs, F.count(F.lit(1)).alias(name))
+    per_pair = (
+        edges.select("a", "b", "weight", "label")
+        .join(count(effects, "shared_effects"), ["a", "b"], "full")
+        .join(count(proteins, "shared_proteins"), ["a", "b"], "full")
         .fillna(0, ["shared_effects", "shared_proteins"])
         .fillna(0.0, ["weight"])
     )
+    rows = regimen_edges(regimens, per_pair)
     points = (
         0.6 * F.col("weight") / 10.0
         + 0.25 * F.least("shared_effects", F.lit(50)) / 50.0
