@@ -141,15 +141,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id (ids before null, then by text key).
+    """One document of each near-duplicate group: the one with the smallest doc_id (ids before null, then by text key)."""
+    return keep_rows(docs, near_duplicates(docs).select("first").distinct().select("first.doc_id", "first.key"))
 
-    Of identical keys one row stays, the smallest by its other columns.
-    """
-    kept = near_duplicates(docs).select("first").distinct().select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("kept"))
+
+def keep_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the given (doc_id, key); of identical ones one stays, the smallest by its other columns."""
+    kept = chosen.select(F.col("doc_id").alias("id"), F.col("key").alias("kept"))
     # The row travels as one struct, so no column of it can clash.
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("key"))
-    chosen = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("kept")), "left_semi")
-    ranked = chosen.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("row")))
+    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("kept")), "left_semi")
+    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("row")))
     return ranked.where("place = 1").select("row.*")
 
 
