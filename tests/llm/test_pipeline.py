@@ -26,7 +26,8 @@ def planted(spark, folder):
         data.append([i, text, "en", f"s{i % 3}", len(text)])
         labels.append((i, 1, int(toxic)))
     for i, of in ((300, 101), (301, 101), (302, 102)):
-        data.append([i, data[of][1] if i != 302 else data[of][1], "en", "s0", 1])
+        # 302 is a near copy: its last word differs.
+        data.append([i, data[of][1] if i != 302 else data[of][1].rsplit(" ", 1)[0] + " replaced", "en", "s0", 1])
     spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
@@ -71,6 +72,6 @@ def test_empty_and_extra_columns(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = sorted(QUERIES)
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(CHECKS) <= set(QUERIES)
     assert os.path.exists(corpus_pipeline.__file__)
