@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from combirisk.functions.severity import label_rank, scale_by_substring
 from combirisk.operators.pairs import symmetric
 from combirisk.operators.profiles import count_if
+from combirisk.operators.quantiles import quantile_values
 from combirisk.operators.statistics import global_rank, hash_number
 from combirisk.session import cut_lineage, scalar_row
 from combirisk.schemas import CONTRAINDICATED, MAJOR, MINOR, MODERATE, SEVERE_LABELS, SHARE_SCALE
@@ -110,14 +111,15 @@ def composite_risk(metrics: DataFrame) -> DataFrame:
 
 def density_statistics(edges: DataFrame) -> DataFrame:
     """n, m, density and degree moments in one row."""
-    degrees = symmetric(edges.select("a", "b")).groupBy("item").agg(F.count(F.lit(1)).alias("degree"))
+    degrees = cut_lineage(symmetric(edges.select("a", "b")).groupBy("item").agg(F.count(F.lit(1)).alias("degree")))
+    (median,) = quantile_values(degrees, "degree", [0.5])
     n, m = F.count(F.lit(1)), F.sum("degree") / 2
     return degrees.agg(
         n.alias("n"),
         m.cast("long").alias("m"),
         F.round(2 * m / (n * (n - 1.0)), 8).alias("density"),
         F.round(F.avg("degree"), 6).alias("mean_degree"),
-        F.round(F.percentile("degree", F.lit(0.5)), 6).alias("median_degree"),
+        F.round(F.lit(median).cast("double"), 6).alias("median_degree"),
         F.round(F.stddev_pop("degree"), 6).alias("sd_degree"),
         F.max("degree").alias("max_degree"),
     )

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from combirisk.operators.quantiles import quartiles
 from combirisk.session import scalar_row
 from combirisk.schemas import CONTRAINDICATED, LABELS, MAJOR, MINOR, MODERATE, SEVERE_LABELS
 
@@ -321,11 +322,11 @@ def histogram(df: DataFrame, value: str, buckets: int = 50) -> DataFrame:
 
 
 def box_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = df.groupBy(group).agg(F.count(value).alias("n"), q.alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    return stats.select(
-        group, "n", F.round("lo", 6).alias("min"), *[F.round(F.get("q", F.lit(i)), 6).alias(f"q{p}") for i, p in enumerate((25, 50, 75))],
-        F.round("hi", 6).alias("max"),
+    """(group, n, min, q25, q50, q75, max) of one column, by group."""
+    stats = df.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    cuts = quartiles(df.select(F.col(group).alias("group"), F.col(value).alias("value")))
+    return stats.join(cuts, F.col(group).eqNullSafe(F.col("group")), "left").select(
+        group, "n", F.round("lo", 6).alias("min"), *[F.round(q, 6).alias(q) for q in ("q25", "q50", "q75")], F.round("hi", 6).alias("max"),
     )
 
 

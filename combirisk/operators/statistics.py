@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from combirisk.operators.profiles import count_if
+from combirisk.operators.quantiles import quantile_values, quartiles, stacked
 from combirisk.session import cut_lineage, scalar_row
 
 # Number of value ranges a global running total is cut into.
@@ -49,29 +50,31 @@ def average_ranks(df: DataFrame, value: str, name: str, decimals: int | None = N
 
 def descriptive(df: DataFrame, metrics: list[str], decimals: int = 6) -> DataFrame:
     """One row per metric: n, mean, population deviation, extremes, quartiles, skew, kurtosis."""
-    aggs = []
-    for m in metrics:
-        q = F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs.append(
-            F.struct(
-                F.lit(m).alias("metric"),
-                F.count(m).alias("n"),
-                F.round(F.avg(m), decimals).alias("mean"),
-                F.round(F.stddev_pop(m), decimals).alias("sd"),
-                F.round(F.min(m), decimals).alias("min"),
-                F.round(F.max(m), decimals).alias("max"),
-                F.transform(q, lambda x: F.round(x, decimals)).alias("q"),
-                F.round(F.skewness(m), 4).alias("skew"),
-                F.round(F.kurtosis(m), 4).alias("kurtosis"),
-            )
-        )
-    rows = df.agg(F.array(*aggs).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
-    return rows.select(
-        "metric", "n", "mean", "sd", "min", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("median"),
-        F.get("q", F.lit(2)).alias("q75"), "max", "skew", "kurtosis",
+    rows = stacked(df, metrics)
+    stats = rows.groupBy("group").agg(
+        F.count("value").alias("n"),
+        F.round(F.avg("value"), decimals).alias("mean"),
+        F.round(F.stddev_pop("value"), decimals).alias("sd"),
+        F.round(F.min("value"), decimals).alias("min"),
+        F.round(F.max("value"), decimals).alias("max"),
+        F.round(F.skewness("value"), 4).alias("skew"),
+        F.round(F.kurtosis("value"), 4).alias("kurtosis"),
+    )
+    found = stats.join(quartiles(rows), "group", "left")
+    return found.select(
+        F.col("group").alias("metric"), "n", "mean", "sd", "min", F.round("q25", decimals).alias("q25"), F.round("q50", decimals).alias("median"),
+        F.round("q75", decimals).alias("q75"), "max", "skew", "kurtosis",
     )
 
 
+def describe(df: DataFrame, columns: list[str], decimals: int = 6) -> DataFrame:
+    """(column, count, mean, std, min, q25, q50, q75, max) of numeric columns; std is the sample's."""
+    rows = stacked(df, columns)
+    stats = rows.groupBy("group").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    shown = [F.round(c, decimals).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")]
+    return stats.join(quartiles(rows), "group", "left").select(F.col("group").alias("column"), "count", *shown)
+
+
 def correlation_matrix(df: DataFrame, metrics: list[str], method: str = "pearson", decimals: int = 6) -> DataFrame:
     """(x, y, r) of every metric pair; ``spearman`` correlates average ranks."""
     table, names = df, {m: m for m in metrics}
@@ -98,8 +101,8 @@ def cumulative_share(df: DataFrame, value: str) -> DataFrame:
 
 def quantile_edges(df: DataFrame, value: str, k: int = 5) -> Column:
     """Array of the inner quantile edges, repeated edges dropped."""
-    cuts = F.array(*[F.lit(i / k) for i in range(0, k + 1)])
-    return F.array_distinct(df.agg(F.percentile(value, cuts)).scalar())
+    edges = quantile_values(df, value, [i / k for i in range(0, k + 1)])
+    return F.array_distinct(F.array(*[F.lit(e).cast("double") for e in edges]))
 
 
 def quantile_bins(df: DataFrame, value: str, k: int = 5, name: str = "bin") -> DataFrame:

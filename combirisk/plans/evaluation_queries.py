@@ -14,6 +14,7 @@ from combirisk.operators import regimen as H
 from combirisk.operators import signals as G
 from combirisk.operators import statistics as S
 from combirisk.operators.pairs import regimen_edges, validation_pairs
+from combirisk.operators.quantiles import quantile_values
 from combirisk.plans import views as V
 from combirisk.plans.check_views import any_contains, lit
 from combirisk.plans.join_queries import LEVELS_SQL, reference_levels
@@ -248,9 +249,9 @@ ROC_SQL = RISK_JOIN_SQL + """, md AS (SELECT quantile_cont(serious, 0.5) AS m FR
 
 
 def outcomes(spark, sf):
-    rows = risk_and_reports(spark, sf)
-    median = rows.agg(F.percentile("serious", F.lit(0.5))).scalar()
-    return rows.withColumn("median", median).select("risk", (F.col("serious") > F.col("median")).cast("int").alias("y"))
+    rows = cut_lineage(risk_and_reports(spark, sf))
+    (median,) = quantile_values(rows, "serious", [0.5])
+    return rows.withColumn("median", F.lit(median).cast("double")).select("risk", (F.col("serious") > F.col("median")).cast("int").alias("y"))
 
 
 @query(

@@ -333,6 +333,20 @@ def a21(spark, sf):
     return A.null_profile(V.interactions(spark, sf).select(*PROFILE_COLUMNS))
 
 
+DESCRIBED = ["severity_confidence", "severity_numeric"]
+
+
+@query(
+    "a21_description",
+    " UNION ALL ".join(
+        f"SELECT {lit(c)} AS column, count({c}) AS count, round(avg({c}::DOUBLE), 6) AS mean, round(stddev_samp({c}::DOUBLE), 6) AS std, round(min({c}::DOUBLE), 6) AS min, round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS q50, round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75, round(max({c}::DOUBLE), 6) AS max FROM interactions"
+        for c in DESCRIBED
+    ),
+)
+def a21_description(spark, sf):
+    return S.describe(V.interactions(spark, sf), DESCRIBED)
+
+
 @query(
     "a22_modal_label",
     f""", c AS (SELECT item, severity_label AS l, count(*) AS n FROM {SIDES_SQL} WHERE severity_label IS NOT NULL GROUP BY 1, 2),
