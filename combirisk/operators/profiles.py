@@ -212,13 +212,21 @@ def shannon_divergence(rows: DataFrame, old: str, new: str) -> DataFrame:
     return counts.agg(F.round(F.sum((term(p) + term(q)) / 2), 6).alias("divergence"))
 
 
-def subset_rates(rows: DataFrame, subset: Column, label: str, confidence: str) -> DataFrame:
-    """Rates inside a subset: share at least Major, share Moderate, mean confidence."""
+def method_counts(rows: DataFrame, method: str, old: str, new: str, confidence: str) -> DataFrame:
+    """(method, n, share, changed, mean_confidence): what each way of relabelling did."""
+    per = rows.groupBy(F.col(method).alias("method")).agg(F.count(F.lit(1)).alias("n"), count_if(~F.col(old).eqNullSafe(F.col(new))).alias("changed"), F.avg(confidence).alias("mean"))
+    total = per.agg(F.sum("n")).scalar()
+    return per.select("method", "n", F.round(F.col("n") / total, 6).alias("share"), "changed", F.round("mean", 6).alias("mean_confidence"))
+
+
+def subset_rates(rows: DataFrame, subset: Column, label: str, confidence: str, before: str) -> DataFrame:
+    """Rates inside a subset: share at least Major, share Moderate, mean confidence and its shift from ``before``."""
     return rows.filter(subset).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(F.when(F.col(label).isin(SEVERE_LABELS), 1.0).otherwise(0.0)), 6).alias("severe_rate"),
         F.round(F.avg(F.when(F.col(label) == MODERATE, 1.0).otherwise(0.0)), 6).alias("moderate_rate"),
         F.round(F.avg(confidence), 6).alias("mean_confidence"),
+        F.round(F.avg(F.col(confidence) - F.col(before)), 6).alias("confidence_shift"),
     )
 
 

@@ -488,13 +488,20 @@ def p28(spark, sf):
     return terms.select("doc_id", F.array_join(F.array_sort("t.unigrams"), "|").alias("unigrams"), F.array_join(F.array_sort("t.bigrams"), "|").alias("bigrams"))
 
 
+ALIAS_ROWS = sorted(rules.ALIASES.items())
+ALIAS_SQL = "(VALUES " + ", ".join(f"({i}, {lit(a)}, {lit(g)})" for i, (a, g) in enumerate(ALIAS_ROWS)) + ") al(i, alias, known)"
+
+
 @query(
     "p29_normal_name",
-    """SELECT DISTINCT raw, generic AS name FROM (SELECT generic, upper(generic) || ' (' || lower(kind) || ') ' || (CASE WHEN brand % 2 = 0 THEN 'hydrochloride' ELSE 'sodium' END) AS raw FROM items)""",
+    f"""SELECT DISTINCT raw, name FROM (SELECT generic AS name, upper(generic) || ' (' || lower(kind) || ') ' || (CASE WHEN brand % 2 = 0 THEN 'hydrochloride' ELSE 'sodium' END) AS raw FROM items
+    UNION ALL SELECT known, ' ' || upper(alias) || ' ' FROM items JOIN {ALIAS_SQL} ON i = brand % {len(ALIAS_ROWS)})""",
 )
 def p29(spark, sf):
     raw = F.concat_ws("", F.upper("generic"), F.lit(" ("), F.lower("kind"), F.lit(") "), F.when(F.col("brand") % 2 == 0, "hydrochloride").otherwise("sodium"))
-    return V.items(spark, sf).select(raw.alias("raw")).distinct().select("raw", names.normal_name("raw", aliases={}).alias("name"))
+    brand = F.get(F.array(*[F.lit(a) for a, _ in ALIAS_ROWS]), (F.col("brand") % len(ALIAS_ROWS)).cast("int"))
+    rows = V.items(spark, sf).select(F.explode(F.array(raw, F.concat(F.lit(" "), F.upper(brand), F.lit(" ")))).alias("raw"))
+    return rows.distinct().select("raw", names.normal_name("raw").alias("name"))
 
 
 SIM_SQL = """CASE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE 0.4::DOUBLE * len(list_intersect(list_distinct(string_split({a}, '')), list_distinct(string_split({b}, '')))) / len(list_distinct(list_concat(string_split({a}, ''), string_split({b}, ''))))

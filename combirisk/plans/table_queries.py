@@ -248,6 +248,15 @@ def a15(spark, sf):
     return A.drift(severity.hybrid_recalibration(V.interactions(spark, sf)), "severity_label", "severity_recalibrated", TARGET)
 
 
+@query(
+    "a15_method_counts",
+    f"SELECT method, count(*) AS n, round(count(*) / (sum(count(*)) OVER ())::DOUBLE, 6) AS share, count(*) FILTER (severity_label IS DISTINCT FROM recal) AS changed, round(avg(recal_confidence), 6) AS mean_confidence FROM ({HYBRID_SQL}) GROUP BY 1",
+)
+def a15_methods(spark, sf):
+    rows = severity.hybrid_recalibration(V.interactions(spark, sf))
+    return A.method_counts(rows, "recal_method", "severity_label", "severity_recalibrated", "recal_confidence")
+
+
 @query(
     "a15_divergence",
     f""", r AS ({HYBRID_SQL}), c AS (SELECT l, sum(o)::DOUBLE AS o, sum(k)::DOUBLE AS k FROM (SELECT severity_label AS l, 1 AS o, 0 AS k FROM r UNION ALL SELECT recal, 0, 1 FROM r) GROUP BY 1),
@@ -260,14 +269,14 @@ def a15_divergence(spark, sf):
 
 @query(
     "a16_subset_rates",
-    f"""SELECT count(*) AS n, round(avg(CASE WHEN recal IN {SEVERE_SQL} THEN 1.0 ELSE 0.0 END), 6) AS severe_rate, round(avg(CASE WHEN recal = 'Moderate interaction' THEN 1.0 ELSE 0.0 END), 6) AS moderate_rate, round(avg(recal_confidence), 6) AS mean_confidence
+    f"""SELECT count(*) AS n, round(avg(CASE WHEN recal IN {SEVERE_SQL} THEN 1.0 ELSE 0.0 END), 6) AS severe_rate, round(avg(CASE WHEN recal = 'Moderate interaction' THEN 1.0 ELSE 0.0 END), 6) AS moderate_rate, round(avg(recal_confidence), 6) AS mean_confidence, round(avg(recal_confidence - severity_confidence), 6) AS confidence_shift
     FROM ({HYBRID_SQL}) WHERE (list_contains(c1, 'anticoagulants') AND list_contains(c2, 'antiplatelets')) OR (list_contains(c2, 'anticoagulants') AND list_contains(c1, 'antiplatelets'))""",
 )
 def a16(spark, sf):
     one, two = (severity.name_classes(F.col(f"drug_name_{i}"), rules.RISK_CLASSES) for i in (1, 2))
     has = F.array_contains
     subset = (has(one, "anticoagulants") & has(two, "antiplatelets")) | (has(two, "anticoagulants") & has(one, "antiplatelets"))
-    return A.subset_rates(severity.hybrid_recalibration(V.interactions(spark, sf)), subset, "severity_recalibrated", "recal_confidence")
+    return A.subset_rates(severity.hybrid_recalibration(V.interactions(spark, sf)), subset, "severity_recalibrated", "recal_confidence", "severity_confidence")
 
 
 @query(
