@@ -50,9 +50,10 @@ def test_decomposition_adds_up(spark, regimens, edges):
 def test_lower_index_range_is_exact(spark, regimens, edges):
     metrics = N.node_metrics(edges, T.betweenness(edges, T.first_sources(edges)))
     targets = spark.createDataFrame([("r1", "c"), ("r2", "c")], "regimen_id string, target string")
-    assert rows_of(R.lower_index_alternatives(targets, regimens, edges, metrics, lead=1)) == rows_of(
-        R.lower_index_alternatives(targets, regimens, edges, metrics)
-    )
+    index = metrics.select("item", F.round("pri", 9).alias("pri"))
+    low = targets.join(index.select(F.col("item").alias("target"), F.col("pri").alias("target_pri")), "target").join(index, F.col("pri") < F.col("target_pri"))
+    every = R.not_members(low.select("regimen_id", "target", "item", "pri", "target_pri"), regimens)
+    assert rows_of(R.lower_index_alternatives(targets, regimens, edges, metrics)) == rows_of(R._link_scored(every, targets, regimens, edges, F.lit(0.4), 5))
 
 
 def test_nearest_blocks_agree(spark):
