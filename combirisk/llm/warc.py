@@ -35,6 +35,8 @@ from combirisk.session import work_path
 REVISIT_BYTES = 100
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
+# Bytes of records that one task should read back.
+READ_BYTES = 32 << 20
 LEVEL = 3
 # Fixed values of the seekable format and of the archive format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -196,7 +198,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    dealt = index.repartition("bundle", F.floor(F.col("frame") / 16)).sortWithinPartitions("bundle", "frame", "start")
+    # The index is tiny beside what it points to: tasks are counted by the bytes they will read.
+    parts = max(1, -(-(index.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0) // READ_BYTES))
+    dealt = index.repartition(parts, "bundle", F.floor(F.col("frame") / 16)).sortWithinPartitions("bundle", "frame", "start")
     return dealt.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
