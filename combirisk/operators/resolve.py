@@ -151,8 +151,21 @@ def aspect_namespace(aspect: Column) -> Column:
     return F.when(aspect == "F", "molecular_function").when(aspect == "P", "biological_process").when(aspect == "C", "cellular_component")
 
 
-def fuzzy_name_matches(names: DataFrame, experts: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(name, expert, score): equal 1.0, one inside the other 0.95, similar by ratio.
+def synonym_matches(names: DataFrame, experts: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(name, expert, score): both names of one id 0.98, else the expert's name among all names of the name's id 0.95.
+
+    ``synonyms(id, name)`` lists every name of every id; a name of several ids stands for the smallest.
+    """
+    listed = synonyms.select("id", F.lower(F.trim("name")).alias("name")).distinct()
+    own = listed.groupBy("name").agg(F.min("id").alias("id"))
+    known = names.join(own, "name").select("name", "id")
+    direct = known.join(own.select(F.col("name").alias("expert"), "id"), "id").join(experts, "expert", "left_semi").select("name", "expert", F.lit(0.98).alias("score"))
+    other = known.join(listed.select("id", F.col("name").alias("expert")), "id").join(experts, "expert", "left_semi").select("name", "expert", F.lit(0.95).alias("score"))
+    return direct.unionByName(other).groupBy("name", "expert").agg(F.max("score").alias("score"))
+
+
+def fuzzy_name_matches(names: DataFrame, experts: DataFrame, threshold: float = 0.85, synonyms: DataFrame | None = None) -> DataFrame:
+    """(name, expert, score): equal 1.0, one inside the other 0.95, then by ``synonyms``, then similar by ratio.
 
     A similarity of 0.85 needs at least three equal leading characters (the
     other two parts reach .7 together), so the ratio step joins on them.
@@ -170,11 +183,13 @@ def fuzzy_name_matches(names: DataFrame, experts: DataFrame, threshold: float =
         .select("name", "expert", F.round(name_similarity("name", "expert"), 6).alias("score"))
         .filter(F.col("score") >= threshold)
     )
-    both = inside.withColumn("tier", F.lit(1)).unionByName(similar.withColumn("tier", F.lit(0)))
+    both = inside.withColumn("tier", F.lit(2)).unionByName(similar.withColumn("tier", F.lit(0)))
+    if synonyms is not None:
+        both = both.unionByName(synonym_matches(n, e, synonyms).withColumn("tier", F.lit(1)))
     return both.groupBy("name", "expert").agg(F.max_by("score", "tier").alias("score"))
 
 
-def best_expert_pair(pairs: DataFrame, experts: DataFrame, threshold: float = 0.85, floor: float = 0.8) -> DataFrame:
+def best_expert_pair(pairs: DataFrame, experts: DataFrame, threshold: float = 0.85, floor: float = 0.8, synonyms: DataFrame | None = None) -> DataFrame:
     """Best expert entry of each pair(a, b): mean name score, either orientation.
 
     ``experts(drug1, drug2, severity, source, ordinal)``; ties go to the
@@ -182,7 +197,7 @@ def best_expert_pair(pairs: DataFrame, experts: DataFrame, threshold: float = 0.
     """
     names = pairs.select(F.explode(F.array("a", "b")).alias("name"))
     known = experts.select(F.explode(F.array("drug1", "drug2")).alias("expert"))
-    matches = fuzzy_name_matches(names, known, threshold)
+    matches = fuzzy_name_matches(names, known, threshold, synonyms)
     one = matches.select(F.col("name").alias("a"), F.col("expert").alias("e1"), F.col("score").alias("s1"))
     two = matches.select(F.col("name").alias("b"), F.col("expert").alias("e2"), F.col("score").alias("s2"))
     listed = experts.select(*[c.alias(n) for c, n in zip(pair_key(F.lower("drug1"), F.lower("drug2")), ("x", "y"))], "severity", "source", "ordinal")

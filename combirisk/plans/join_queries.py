@@ -12,7 +12,7 @@ from combirisk.operators import resolve as R
 from combirisk.plans import views as V
 from combirisk.plans.check_views import lit
 from combirisk.plans.registry import query
-from combirisk.plans.scalar_queries import SIM_SQL, first_group, any_regex
+from combirisk.plans.scalar_queries import ALIAS_ROWS, ALIAS_SQL, SIM_SQL, first_group, any_regex
 
 
 def values(spark, rows, schema):
@@ -248,7 +248,9 @@ EXPERT_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({lit(a)}, {lit(b)}, {lit(s)
 @query(
     "j12_fuzzy_expert_pairs",
     f""", ex AS ({EXPERT_SQL}), en AS (SELECT DISTINCT unnest([d1, d2]) AS e FROM ex), nn AS (SELECT DISTINCT unnest([a, b]) AS n FROM edges),
-    m AS (SELECT n, e, CASE WHEN n = e THEN 1.0::DOUBLE WHEN contains(n, e) OR contains(e, n) THEN 0.95 ELSE round({SIM_SQL.format(a='n', b='e')}, 6) END AS s FROM nn, en),
+    syn AS (SELECT item AS id, item AS name FROM items UNION SELECT item, known FROM items JOIN {ALIAS_SQL} ON i = brand % {len(ALIAS_ROWS)}), ids AS (SELECT name, min(id) AS id FROM syn GROUP BY 1), others AS (SELECT DISTINCT x.name, y.name AS other FROM ids x JOIN syn y USING (id)),
+    m AS (SELECT n, e, CASE WHEN n = e THEN 1.0::DOUBLE WHEN contains(n, e) OR contains(e, n) THEN 0.95 WHEN i1.id = i2.id THEN 0.98 WHEN o.other IS NOT NULL THEN 0.95 ELSE round({SIM_SQL.format(a='n', b='e')}, 6) END AS s
+      FROM nn CROSS JOIN en LEFT JOIN ids i1 ON i1.name = n LEFT JOIN ids i2 ON i2.name = e LEFT JOIN others o ON o.name = n AND o.other = e),
     g AS (SELECT * FROM m WHERE s >= 0.85 OR contains(n, e) OR contains(e, n)),
     c AS (SELECT ed.a, ed.b, least(d1, d2) AS x, greatest(d1, d2) AS y, severity, source, ordinal, (g1.s + g2.s) / 2 AS sc FROM edges ed JOIN g g1 ON g1.n = ed.a JOIN g g2 ON g2.n = ed.b
       JOIN ex ON (g1.e = d1 AND g2.e = d2) OR (g1.e = d2 AND g2.e = d1))
@@ -256,7 +258,9 @@ EXPERT_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({lit(a)}, {lit(b)}, {lit(s)
 )
 def j12(spark, sf):
     experts = values(spark, EXPERTS, "drug1 string, drug2 string, severity string, source string, ordinal int")
-    return R.best_expert_pair(V.edges(spark, sf), experts)
+    known = F.get(F.array(*[F.lit(g) for _, g in ALIAS_ROWS]), (F.col("brand") % len(ALIAS_ROWS)).cast("int"))
+    synonyms = V.items(spark, sf).select(F.col("item").alias("id"), F.explode(F.array("item", known)).alias("name"))
+    return R.best_expert_pair(V.edges(spark, sf), experts, synonyms=synonyms)
 
 
 @query(
