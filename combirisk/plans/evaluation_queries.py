@@ -335,6 +335,21 @@ def e13_quintile(spark, sf):
     return W.sample_with_top_up(binned, "item", "bin", 100).select("item", "bin", "top_up")
 
 
+PAIR_ID_SQL = "a || '|' || b"
+
+
+@query(
+    "e13_severity_sample",
+    f"""SELECT a, b, label, rn AS place FROM (SELECT a, b, label, row_number() OVER (PARTITION BY label ORDER BY {HASH_SQL.format(c=f'({PAIR_ID_SQL})')}, {PAIR_ID_SQL}) AS rn FROM edges)
+    WHERE rn <= 50 // (SELECT count(DISTINCT label) FROM edges)""",
+)
+def e13_severity(spark, sf):
+    """Fifty pairs, the same number of every severity."""
+    pairs = V.edges(spark, sf).select("a", "b", "label", F.concat_ws("|", "a", "b").alias("pair"))
+    each = 50 // max(1, pairs.select("label").distinct().count())
+    return W.top_k_per_group(pairs, ["label"], each, S.hash_number(F.lit(42), F.col("pair")), F.col("pair"), rank="place").select("a", "b", "label", "place")
+
+
 @query(
     "e14_report_profiles",
     PROFILE14_SQL + """ SELECT item, total, serious, deaths, round(serious / total::DOUBLE, 6) AS serious_ratio, round(deaths / total::DOUBLE, 6) AS death_ratio,
