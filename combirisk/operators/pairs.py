@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from combirisk.functions.severity import numeric_label, scale_value
 from combirisk.schemas import NUMERIC_SCALE, WEIGHT_SCALE
+from combirisk.session import cut_lineage
 
 # Lists up to this many items are paired with themselves; longer ones go
 # through the edges, so no group ever emits all of its pairs.
@@ -179,7 +180,9 @@ def overlap_edges(regimens: DataFrame, attributes: DataFrame, *measures: Column,
 
 def regimen_overlaps(regimens: DataFrame, attributes: DataFrame, *measures: Column, ranked: bool = False, limit: int = SELF_PAIR_LIMIT, most: int = RARE_HOLDERS) -> DataFrame:
     """(regimen_id, a, b, measures) of every pair of a regimen that shares an attribute; see ``overlap_edges``."""
-    return regimen_edges(regimens, overlap_edges(regimens, attributes, *measures, ranked=ranked, limit=limit, most=most), limit)
+    # Short and long lists both read the table of pairs.
+    per_pair = cut_lineage(overlap_edges(regimens, attributes, *measures, ranked=ranked, limit=limit, most=most))
+    return regimen_edges(regimens, per_pair, limit)
 
 
 def shared_attributes(regimens: DataFrame, attributes: DataFrame, limit: int = SELF_PAIR_LIMIT) -> DataFrame:

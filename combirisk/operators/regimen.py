@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from combirisk.functions import rules
 from combirisk.functions.severity import scale_by_substring, scale_value
 from combirisk.functions.text import any_of
+from combirisk.session import cut_lineage
 from combirisk.operators.pairs import overlap_edges, regimen_edges, regimen_overlaps, regimen_sizes, symmetric
 from combirisk.operators.profiles import count_if
 from combirisk.schemas import CONTRAINDICATED, MAJOR, MINOR, MODERATE, PAIR_WEIGHT_SCALE, SEVERE_LABELS, SHARE_SCALE
@@ -161,7 +162,7 @@ def five_part_risk(
         .join(overlap_edges(regimens, proteins, one.alias("proteins")), ["a", "b"], "full")
         .join(overlap_edges(regimens, pathways, one.alias("pathways")), ["a", "b"], "full")
     )
-    per = regimen_edges(regimens, per_pair).groupBy("regimen_id").agg(
+    per = regimen_edges(regimens, cut_lineage(per_pair)).groupBy("regimen_id").agg(
         F.sum("weight").alias("weight"), F.count("high").alias("pairs"), F.sum("high").alias("high"), count_if(F.col("high") > 0).alias("high_pairs"),
         F.count("proteins").alias("protein_pairs"), F.count("pathways").alias("pathway_pairs"), *label_counts(),
     )
@@ -283,7 +284,7 @@ def decompose(
         .fillna(0, ["shared_effects", "shared_proteins"])
         .fillna(0.0, ["weight"])
     )
-    rows = regimen_edges(regimens, per_pair)
+    rows = regimen_edges(regimens, cut_lineage(per_pair))
     points = (
         0.6 * F.col("weight") / 10.0
         + 0.25 * F.least("shared_effects", F.lit(50)) / 50.0
